@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -89,3 +90,34 @@ def sha256_hex(parts: Iterable[bytes]) -> str:
     for x in parts:
         h.update(x)
     return h.hexdigest()
+
+
+#: Bytes of a text that are split into words at a time.
+RUN_BYTES = 8 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_runs(text: bytes, limit: int = RUN_BYTES) -> Iterator[list[bytes]]:
+    """words() of a text in order; of a text over `limit` bytes in several lists, cut between words. No list for a text without words."""
+    start = 0
+    while start < len(text):
+        stop = len(text)
+        if stop - start > limit:
+            m = _SPACE.search(text, start + limit)
+            stop = m.start() if m else stop
+        if run := words(text[start:stop]):
+            yield run
+        start = stop
+
+
+def shingles(text: bytes, n: int) -> Iterator[list[bytes]]:
+    """Runs of n words, joined by spaces, in order and with repeats; of fewer words the whole sequence; none of no words."""
+    tail: list[bytes] = []
+    found = False
+    for run in word_runs(text):
+        tail += run
+        if len(tail) >= n:
+            yield list(map(b" ".join, zip(*(tail[i:] for i in range(n)))))
+            tail, found = tail[len(tail) - n + 1 :], True
+    if tail and not found:
+        yield [b" ".join(tail)]

@@ -12,6 +12,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.selectExpr("id as doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm import warc
+    from lectern.llm.common import shared_dir
+
+    pages, path = spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_dir(spark)
+    warc.write(pages, path)
+    found = warc.payloads(warc.read(spark, path), pages.schema["page_id"].dataType.simpleString())
+    return found.selectExpr("row_id as page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.simhash import near_groups
+
+    groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.selectExpr("id as doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.url_rules import judge
 
@@ -30,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op6_url_filter, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op10_byte_bpe)}
 
 
 EXACT_SQL = """
