@@ -37,6 +37,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, "page_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import classify
+
+    scored = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.selectExpr("id as doc_id", "expected_grade", "tail_probability", "kept")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontaminate import overlaps
+
+    found = overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.selectExpr("id as doc_id", "item_id", "first_word", "n_words", "n_equal", "coverage")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op7_quality, op8_decontamination, op10_byte_bpe)}
 
 
 EXACT_SQL = """
