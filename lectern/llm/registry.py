@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.hmm import score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("id as doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.exact_dedup import exact_groups
 
@@ -61,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op7_quality, op8_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_hmm, op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op7_quality, op8_decontamination, op10_byte_bpe)}
 
 
 EXACT_SQL = """
