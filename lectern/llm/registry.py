@@ -11,6 +11,12 @@ def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet")).selectExpr("id as doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.wrappers import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.exact_dedup import exact_groups
 
@@ -57,6 +63,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", "item_id", "first_word", "n_words", "n_equal", "coverage")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.licenses import scan
+
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.selectExpr("id as doc_id", "license", "version", "first_word", "n_words", "n_differing", "differing", "saved")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +80,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm, op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op7_quality, op8_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_hmm, op2_html_text, op3_exact_dedup, op4_warc, op5_simhash, op6_url_filter, op7_quality, op8_decontamination, op9_licenses, op10_byte_bpe)}
 
 
 EXACT_SQL = """
