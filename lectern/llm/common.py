@@ -10,10 +10,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 #: Columns that name a row of the input: a hash of its file's path and its place in that file.
-ROW_KEY = ("__file", "__row")
+ROW_KEY = ("__source_file", "__source_row")
 #: Texts that Python workers take from Arrow at a time, so that a batch of long texts still fits.
 BATCH_BYTES = 16 << 20
 
@@ -36,20 +35,20 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """df if it is a scan of files, with columns and filters at most, so that rows have a place in a file; else df stored and read again."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    if node.nodeName() == "LogicalRelation":
+        return df
+    return stored(df)
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
-    """df with ROW_KEY, which stays the same however often a task runs. Frames that are not scans are stored first."""
-    keys = (F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
-    df = df.drop(*ROW_KEY)
-    try:
-        return df.select("*", *keys)
-    except AnalysisException:
-        return stored(df).select("*", *keys)
-
-
-def input_bytes(df: DataFrame, col: str) -> tuple[int, int]:
-    """Rows of df and bytes in one of its text columns."""
-    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(col))).first()
-    return n or 0, size or 0
+    """df with ROW_KEY, which stays the same however often a task runs. Callers that key a frame twice pass it through scanned() first."""
+    df = scanned(df.drop(*ROW_KEY))
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

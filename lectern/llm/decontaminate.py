@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, slices, with_row_key, words
+from lectern.llm.common import ROW_KEY, as_bytes, scanned, slices, with_row_key, words
 from lectern.llm.tokens import hash_words, mix
 
 WINDOW, AGREE = 13, 11
@@ -161,5 +161,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """docs without those that overlap an item; all columns."""
+    docs = scanned(docs)
     gone = overlaps(docs, benchmark, doc_id, text, **names).select(*ROW_KEY).distinct()
     return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, stored, with_row_key
+from lectern.llm.common import ROW_KEY, scanned, stored, with_row_key
 
 #: Counters of a task's summary, and the bound of what is broadcast.
 COUNTERS = 1024
@@ -83,5 +83,6 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that repeat another's text; all its columns."""
+    docs = scanned(docs)
     gone = exact_groups(docs, doc_id, text).where("not kept").select(*ROW_KEY)
     return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)

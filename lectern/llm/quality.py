@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, slices, stored, with_row_key
+from lectern.llm.common import ROW_KEY, as_bytes, scanned, slices, stored, with_row_key
 from lectern.llm.tokens import hash_words
 
 SAMPLE = 8192
@@ -206,5 +206,6 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def select_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs that are kept; all columns."""
+    docs = scanned(docs)
     gone = classify(docs, labels, doc_id, text).where("not kept").select(*ROW_KEY)
     return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, shingles, shuffle_parts, slices, stored, with_row_key
+from lectern.llm.common import ROW_KEY, as_bytes, scanned, shingles, shuffle_parts, slices, stored, with_row_key
 from lectern.llm.graph import components
 
 BITS, NEAR, SHINGLE, SEED = 64, 3, 3, 42
@@ -195,5 +195,6 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component, that with its smallest id; all columns."""
+    docs = scanned(docs)
     gone = near_groups(docs, doc_id, text).where("not best").select(*ROW_KEY)
     return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)
