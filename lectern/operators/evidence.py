@@ -158,3 +158,125 @@ def verbatim(answers: DataFrame, sources: DataFrame, key: str, quote: str, text:
     """Answers with whether their quotation stands in the named source, character for character."""
     joined = answers.join(sources.select(key, F.col(text).alias("_t")), key, "left")
     return joined.withColumn("verbatim", F.coalesce(F.col("_t").contains(F.col(quote)), F.lit(False))).drop("_t")
+
+
+#: Fixed parts of regnal dates: an era year, season, month and day, in that order and each may be missing.
+DATE = re.compile(r"(?:(?P<era>[一-鿿]{1,4}公|[一-鿿]{2})?(?P<year>元|[一二三四五六七八九十百]+)年)?(?P<season>[春夏秋冬])?[，,]?(?P<month>(?:王?正|閏?[一二三四五六七八九十]+)月)?(?P<day>[甲乙丙丁戊己庚辛壬癸][子丑寅卯辰巳午未申酉戌亥])?")
+
+
+def date_prefix(text: str) -> tuple[int, dict] | None:
+    """The date that a sentence begins with: its length and its parts; None without one. Years are never converted."""
+    m = DATE.match(text)
+    parts = {k: v for k, v in (m.groupdict() if m else {}).items() if v}
+    return (m.end(), parts) if parts else None
+
+
+def annals(text: str) -> list[tuple[int, int, dict]]:
+    """Sentences as events (start, end, date). A part of the date that is not given goes on from the event before, but nothing finer than what is given."""
+    order, held, out = ("era", "year", "season", "month", "day"), {}, []
+    for s, e in units(text):
+        found = date_prefix(text[s:e].lstrip("，,　 "))
+        if found:
+            first = min(order.index(k) for k in found[1])
+            held = {k: v for k, v in held.items() if order.index(k) < first} | found[1]
+        out.append((s, e, dict(held)))
+    return out
+
+
+#: Words that name a time by another one: fixed, with the distance in units where it is certain.
+RELATIVE = {"明年": ("year", 1), "是歲": ("year", 0), "是年": ("year", 0), "明日": ("day", 1), "是月": ("month", 0)}
+
+
+def relative_time(text: str, at: int) -> dict | None:
+    """The relative time that begins at `at`, with the date it counts from: the nearest one before it in the same paragraph. The absolute year stays unknown."""
+    word = next((w for w in RELATIVE if text.startswith(w, at)), None)
+    if word is None:
+        return None
+    start = text.rfind("\n", 0, at) + 1
+    base = [(s, d) for s, e, d in annals(text[start:at]) if d]
+    unit, distance = RELATIVE[word]
+    return {"word": word, "unit": unit, "distance": distance, "base": base[-1][1] if base else None, "absolute_year": None}
+
+
+SPEECH = re.compile(r"(?P<speaker>[一-鿿]{1,4}?)(?:(?:謂|告|語|問|言於|對)(?P<addressee>[一-鿿]{1,4}?))?曰[：:]?(?=[「“])")
+
+
+def speeches(text: str) -> list[dict]:
+    """Quoted turns with speaker and addressee as they are named right before the quotation; unbalanced text has none."""
+    found = quotes(text)
+    out = []
+    for s, e, depth in found or []:
+        if depth:
+            continue
+        lo = max((text.rfind(c, 0, s) for c in STOPS + "，,；;\n」”"), default=-1) + 1
+        m = next((m for m in SPEECH.finditer(text, lo, s + 1) if m.end() == s), None)
+        out.append({"start": s, "end": e, "speaker": m["speaker"] if m else None, "addressee": m["addressee"] if m else None, "text": text[s + 1 : e - 1]})
+    return out
+
+
+def focus(text: str, plan: Plan) -> tuple[int, int] | None:
+    """The sentence with the subject that has most clues and words of the relation; the earliest on ties."""
+    best = None
+    for s, e in units(text):
+        part = text[s:e]
+        if any(x in part for x in plan.subject):
+            n = sum(x in part for x in (*plan.relation, *plan.clues))
+            best = max(best, (n, -s, e)) if best else (n, -s, e)
+    return (-best[1], best[2]) if best else None
+
+
+def assembled(text: str, start: int, end: int, most: int = 3200) -> tuple[int, int]:
+    """Whole sentences around a span, growing on both sides in turn while they fit; the span's own sentences always stay."""
+    own = units(text)
+    inside = [i for i, (s, e) in enumerate(own) if s < end and e > start]
+    if not inside:
+        return start, end
+    lo, hi = inside[0], inside[-1]
+    grown = True
+    while grown:
+        grown = False
+        if hi + 1 < len(own) and own[hi + 1][1] - own[lo][0] <= most:
+            hi, grown = hi + 1, True
+        if lo > 0 and own[hi][1] - own[lo - 1][0] <= most:
+            lo, grown = lo - 1, True
+    return own[lo][0], own[hi][1]
+
+
+def projected(parts: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
+    """A chunk's span in the blocks that it was made of; parts: (block, start, end) in order. Raises if the span is not covered."""
+    out, at = [], 0
+    for block, s, e in parts:
+        lo, hi = max(start, at), min(end, at + e - s)
+        if lo < hi:
+            out.append((block, s + lo - at, s + hi - at))
+        at += e - s
+    if sum(e - s for _, s, e in out) != end - start:
+        raise ValueError("the span is not in the chunk's parts")
+    return out
+
+
+def sound(text: str, span: tuple[int, int], quote: str, digest: str) -> bool:
+    """Whether a pinned source still has the digest and the quotation at its place."""
+    import hashlib
+
+    return hashlib.sha256(text.encode()).hexdigest() == digest and text[slice(*span)] == quote
+
+
+def grounded_prefix(rows: DataFrame, words: str, text: str) -> tuple[str, str]:
+    """The longest beginning of a text of two characters and more that some row contains, and the rest. One scan for all beginnings."""
+    heads = [words[:n] for n in range(len(words), 1, -1)]
+    if not heads:
+        return "", words
+    found = rows.agg(*[F.max(F.col(text).contains(h)).alias(f"h{i}") for i, h in enumerate(heads)]).first()
+    head = next((h for h, yes in zip(heads, found) if yes), "")
+    return head, words[len(head) :]
+
+
+def admitted(channels: dict[str, DataFrame], key: str, quota: int = 20) -> DataFrame:
+    """Candidates of several channels (key, rank), `quota` of each: key, best_rank, votes."""
+    from functools import reduce
+
+    from lectern.operators.sequence import quotas
+
+    rows = reduce(DataFrame.unionByName, (f.select(key, "rank", F.lit(name).alias("channel")) for name, f in channels.items()))
+    return quotas(rows, key, "channel", [F.col("rank"), F.col(key)], quota)
