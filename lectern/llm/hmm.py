@@ -152,40 +152,38 @@ class Model:
 
 def expected(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The E-step over pieces of one length or less: expected starts, transitions and emissions. Pieces must be in order of falling length."""
-    k, length = STATES, np.array([len(p) for p in pieces])
+    length = np.array([len(p) for p in pieces])
     n, most = len(pieces), int(length[0])
-    obs = np.zeros((most, n), dtype=np.int32)
+    padded = np.zeros((most, n), dtype=np.int16)
     for i, p in enumerate(pieces):
-        obs[: len(p), i] = p
-    active = np.searchsorted(-length, -np.arange(most), side="left")  # pieces longer than t
-    emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
-    alpha = np.zeros((most, n, k), dtype=np.float32)
-    norm = np.ones((most, n, 1), dtype=np.float32)
-    e = emit[obs]
-    e = e / np.maximum(e.max(axis=2, keepdims=True), 1e-30)
-    a = model.start.astype(np.float32) * e[0]
-    for t in range(most):
-        m = active[t]
-        if t:
-            a = (a[:m] @ step) * e[t, :m]
+        padded[: len(p), i] = p
+    obs = padded[np.arange(most)[:, None] < length[None, :]]  # by time, then piece; at time t the first active[t] pieces are there
+    active = np.searchsorted(-length, -np.arange(most), side="left")
+    first = np.r_[0, np.cumsum(active)]
+    step = model.step.astype(np.float32)
+    e = model.emit.astype(np.float32)[obs]
+    gamma = np.empty_like(e)  # first the forward values
+    a = model.start.astype(np.float32)
+    for t, m in enumerate(active.tolist()):
+        lo, hi = first[t], first[t + 1]
+        a = a * e[lo:hi] if t == 0 else (a[:m] @ step) * e[lo:hi]
         z = a.sum(axis=1, keepdims=True)
-        a = a / z
-        alpha[t, :m], norm[t, :m] = a, z
-    moves = np.zeros((k, k))
-    gamma = alpha  # overwritten from the end
-    beta = np.ones((n, k), dtype=np.float32)
+        a /= z
+        gamma[lo:hi] = a
+        e[lo:hi] /= z  # scaled, as the backward values need it
+    moves = np.zeros((STATES, STATES), dtype=np.float64)
+    beta = np.ones((n, STATES), dtype=np.float32)
+    back = np.ascontiguousarray(step.T)
     for t in range(most - 2, -1, -1):
         m = active[t + 1]
-        right = beta[:m] * e[t + 1, :m] / norm[t + 1, :m]
-        moves += alpha[t, :m].T @ right
-        beta[:m] = right @ step.T
-        gamma[t, :m] *= beta[:m]
-    gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-30)
+        lo = first[t]
+        right = beta[:m] * e[first[t + 1] : first[t + 2]]
+        moves += gamma[lo : lo + m].T @ right
+        beta[:m] = right @ back
+        gamma[lo : lo + m] *= beta[:m]
     moves *= model.step
-    used = np.arange(most)[:, None] < length[None, :]
-    flat, g = obs[used], gamma[used]
-    counts = np.stack([np.bincount(flat, weights=g[:, j], minlength=CLASSES) for j in range(k)], axis=1)
-    return gamma[0].sum(axis=0, dtype=np.float64), moves, counts
+    counts = np.stack([np.bincount(obs, weights=gamma[:, j], minlength=CLASSES) for j in range(STATES)], axis=1)
+    return gamma[: active[0]].sum(axis=0, dtype=np.float64), moves, counts
 
 
 def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
