@@ -80,6 +80,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def count_bin(c: Column) -> Column:
+    """Counts in bins of a thirty-second of a power of two, in order."""
+    return F.floor(F.log2(c) * 32)
+
+
+def cutoff(counts: DataFrame, most: int) -> int:
+    """The lowest bin of counts such that `most` words at most are in it and above."""
+    total, least = 0, 64 * 32
+    rows = counts.groupBy(count_bin(F.col("c")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    for r in sorted(rows.collect(), key=lambda r: -r.bin):  # 64 x 32 rows at most
+        total += r.n
+        if total > most:
+            break
+        least = r.bin
+    return least
+
+
 class Tier:
     """Counts and classes of the most frequent words."""
 
@@ -257,7 +274,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: i
     is_end = F.col("word") == F.lit(bytearray(END))
     ends = counts.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     frequent = counts.where(~is_end & (F.octet_length("word") <= TIER_BYTES))
-    top = frequent.orderBy(F.desc("c"), "word").limit(TIER).collect()  # TIER rows of TIER_BYTES at most
+    top = frequent.where(count_bin(F.col("c")) >= cutoff(frequent, TIER)).collect()  # TIER rows of TIER_BYTES at most
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     tier = Tier([bytes(r.word) for r in top], [r.c for r in top])
     names = tier.words[:OWN]
     own = spark.createDataFrame([(bytearray(w),) for w in names], "word binary")
