@@ -1,9 +1,12 @@
 """Document quality by ordinal cumulative-link regression on hashed text.
 
 Ratings are ordered grades 0 < 1 < ... < k-1. One weight vector over hashed features gives a document's score s; ordered thresholds
-t1 < ... < t(k-1) give P(grade >= j) = sigmoid(s - tj). Weights and thresholds are fitted together by proximal gradient steps with an
-L1 penalty, which keeps the weights of words without a bearing on the grade at exactly zero. A document's expected
-grade is the sum of its tail probabilities, and it is kept if the tail at the chosen grade is at least one half.
+t1 < ... < t(k-1) give P(grade >= j) = sigmoid(s - tj). Features whose rates differ between no two adjacent grades are left out; the
+weights of the others and the thresholds are fitted together by L-BFGS with a ridge penalty. A document's expected grade is the sum of its
+tail probabilities, and it is kept if the tail at the chosen grade is at least one half.
+
+Labels of quality and toxicity become three grades, toxic below poor below good. Toxic words add up without bound, so they belong
+at an end of the scale; between poor and good a text with several of them would fall out of its band.
 
 Features, each present or not: the words without punctuation around them and their first and last bytes (so that forms of
 one word share weights), hashed to 2**20 places, and bands of a few rates of the whole text (letters, capitals, digits,
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import ROW_KEY, as_bytes, scanned, slices, stored, with_row_key
 from lectern.llm.tokens import hash_words
 
-SAMPLE = 8192
+SAMPLE = 16_384
 PLACES = 1 << 20
-STEPS, L1, Z = 400, 1e-3, 6.0
+STEPS, RIDGE, Z = 300, 0.3, 5.0
 #: Bytes of a word that are features too: first ones, and last ones where negative.
 AFFIXES = (4, 5)
 _RATES, _BANDS = 7, 16
@@ -94,46 +97,71 @@ def screened(feature: np.ndarray, of: np.ndarray, grade: np.ndarray, grades: int
     return out
 
 
-def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, steps: int = STEPS, l1: float = L1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that minimise the mean negative log-likelihood plus l1 times the weights' absolute sum.
-
-    Features that differ between no two adjacent grades get no weight. Accelerated proximal gradient in a diagonal metric: for features of 0 and 1 the loss's
-    curvature is below that of sum_i curve_i * size_i at each feature of document i, so every step is safe. Each grade has the
-    same total weight. Thresholds stay in order, as they are written as a first one and the logarithms of the gaps.
+def minimized(f, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS with backtracking: f gives value and gradient."""
+    value, grad = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, alphas = grad.copy(), []
+        for s, y, r in reversed(pairs):
+            alphas.append(r * (s @ q))
+            q -= alphas[-1] * y
+        if pairs:
+            s, y, r = pairs[-1]
+            q *= 1 / (r * (y @ y))
+        for (s, y, r), a in zip(pairs, reversed(alphas)):
+            q += (a - r * (y @ q)) * s
+        slope, rate = grad @ q, 1.0 if pairs else min(1.0, 1 / max(np.abs(grad).max(), 1e-12))
+        if slope <= 1e-12:
+            break
+        while True:
+            new = x - rate * q
+            v, g = f(new)
+            if v <= value - 1e-4 * rate * slope or rate < 1e-8:
+                break
+            rate /= 2
+        s, y = new - x, g - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs[-memory + 1 :], (s, y, 1 / (s @ y))]
+        done = value - v < 1e-9 * max(1.0, abs(value))
+        x, value, grad = new, v, g
+        if done:
+            break
+    return x
+
+
+def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that minimise the negative log-likelihood plus ridge / 2 times the weights' sum of squares.
+
+    Features that differ between no two adjacent grades get no weight. Thresholds stay in order, as they are written as a first one
+    and the logarithms of the gaps.
     """
     n = len(grade)
     owner = np.repeat(np.arange(n), np.diff(first))
     chosen = screened(feature, grade[owner], grade, grades)
     owner, feature = owner[chosen[feature]], feature[chosen[feature]]
     used, at = np.unique(feature, return_inverse=True)
-    share = np.bincount(grade, minlength=grades)
-    rank = 1 / (np.maximum(share, 1)[grade] * (share > 0).sum())
-    size = np.bincount(owner, minlength=n)
-    step = 1 / np.maximum(np.bincount(at, weights=(0.5 * rank * size)[owner], minlength=len(used)), 1e-12)
-    w = old = np.zeros(len(used))
-    t = np.r_[-1.0, np.full(max(0, grades - 2), np.log(2.0))][: grades - 1]
-    k = 0
+    p = len(used)
 
     def cuts(t):
         return np.r_[t[:1], t[0] + np.cumsum(np.exp(t[1:]))]
 
-    for _ in range(steps):
-        v = w + k / (k + 3) * (w - old)
-        s = np.bincount(owner, weights=v[at], minlength=n)
+    def loss(x):
+        w, t = x[:p], x[p:]
+        s = np.bincount(owner, weights=w[at], minlength=n)
         c = np.r_[-np.inf, cuts(t), np.inf]
         upper, lower = _sigmoid(s - c[grade]), _sigmoid(s - c[grade + 1])
-        p = np.maximum(upper - lower, 1e-9)
-        du, dl = rank * upper * (1 - upper) / p, rank * lower * (1 - lower) / p
-        g = np.bincount(at, weights=(dl - du)[owner], minlength=len(used))
-        new = v - step * g
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        k = 0 if ((v - new) * (new - w) / step).sum() > 0 else k + 1  # momentum ends where it points uphill
-        old, w = w, new
+        chance = np.maximum(upper - lower, 1e-12)
+        du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
+        gw = np.bincount(at, weights=(dl - du)[owner], minlength=p) + ridge * w
         gc = (np.bincount(grade, weights=du, minlength=grades + 1) - np.bincount(grade + 1, weights=dl, minlength=grades + 1))[1:grades]
-        t = t - np.r_[gc.sum(), [gc[j:].sum() * np.exp(t[j]) for j in range(1, grades - 1)]][: grades - 1]
+        gt = np.r_[gc.sum(), [gc[j:].sum() * np.exp(t[j]) for j in range(1, grades - 1)]][: grades - 1] + 1e-3 * t
+        return -np.log(chance).sum() + ridge / 2 * (w @ w) + 5e-4 * (t @ t), np.r_[gw, gt]
+
+    x = minimized(loss, np.r_[np.zeros(p), np.r_[-1.0, np.zeros(max(0, grades - 2))][: grades - 1]], steps)
     full = np.zeros(PLACES + _RATES * _BANDS, dtype=np.float32)
-    full[used] = w
-    return full, cuts(t)
+    full[used] = x[:p]
+    return full, cuts(x[p:])
 
 
 def rated(docs: DataFrame, ratings: DataFrame, sample: int, doc_id: str, text: str) -> DataFrame:
@@ -194,8 +222,8 @@ def score(docs: DataFrame, weights: np.ndarray, cut: np.ndarray, grade: int, doc
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
-    """Low quality, good but toxic, good: 0, 1, 2."""
-    return F.when(quality == 0, 0).when(toxic == 1, 1).when((quality == 1) & (toxic == 0), 2)
+    """Toxic, of low quality, good: 0, 1, 2."""
+    return F.when(toxic == 1, 0).when(quality == 0, 1).when((quality == 1) & (toxic == 0), 2)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
