@@ -235,3 +235,18 @@ def X02_sessions(spark, sf):
     from lectern.streaming.ingest import sessions
 
     return sessions(table(spark, sf, "events"))
+
+
+@query()
+def E06_role_frames(spark, sf):
+    from lectern.operators.frames import Frame, observed
+
+    frames = (Frame("one", ("ver", "tion")), Frame("two", (" au", " un"), True, (" ",)))
+    return observed(table(spark, sf, "documents"), "doc_id", "text", ("rein", "ung"), ("en", "la"), frames)
+
+
+@query("SELECT doc_id, position('ver' IN text) - 1 AS start, substr(text, position('ver' IN text), 8) AS quote FROM documents WHERE contains(text, 'ver') AND NOT contains(substr(text, position('ver' IN text) + 1), 'ver')")
+def E24_unique_quotes(spark, sf):
+    at = F.instr("text", "ver")
+    once = F.size(F.split("text", "ver")) == 2
+    return table(spark, sf, "documents").where(once).select("doc_id", (at - 1).cast("long").alias("start"), F.substring("text", at, F.lit(8)).alias("quote"))

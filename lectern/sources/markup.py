@@ -127,3 +127,41 @@ def conserved(records: DataFrame, texts: DataFrame, file_id: str = "file_id", te
     line = records.groupBy("file_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text_orig"))), lambda x: x["text_orig"]), "").alias("line"))
     body = line.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return texts.select(F.col(file_id).alias("file_id"), F.col(text).alias("_text")).join(body, "file_id", "left").where(~F.col("_text").eqNullSafe(F.col("body"))).select("file_id")
+
+
+_DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+_UNITS = {"十": 10, "百": 100, "千": 1000}
+
+
+def number(text: str) -> int | None:
+    """A Chinese or plain number; None for anything else."""
+    if text.isascii() and text.isdigit():
+        return int(text)
+    if not text or any(c not in _DIGITS and c not in _UNITS for c in text):
+        return None
+    total, now = 0, None
+    for c in text:
+        if c in _UNITS:
+            total, now = total + (1 if now is None else now) * _UNITS[c], None
+        else:
+            now = _DIGITS[c] if now is None else now * 10 + _DIGITS[c]
+    return total + (now or 0)
+
+
+def volume_title(line: str, title: str) -> tuple[int, str | None] | None:
+    """The number, and part (上 中 下) if any, of a line that names a volume of the book: `title卷第三十二上`."""
+    m = re.fullmatch(rf"[\s　]*{re.escape(title)}[\s　]*卷(?:第)?([〇零一二兩三四五六七八九十百千0-9]+)(?:之?([上中下]))?[\s　¶]*", _PAGE.sub("", line))
+    n = number(m[1]) if m else None
+    return (n, m[2]) if n is not None else None
+
+
+def declared_titles(lines: list[str], names: list[str]) -> list[tuple[int, str]]:
+    """Lines, from 1, that are titles among the declared names: a name counts once, alone on its line, and only where the line before it is blank, a marker or the beginning."""
+    left, out, gate = list(dict.fromkeys(names)), [], True
+    for i, line in enumerate(lines, 1):
+        bare = _PAGE.sub("", line).replace("¶", "").strip(" \t　")
+        if gate and bare in left:
+            left.remove(bare)
+            out.append((i, bare))
+        gate = not bare or line.startswith("#")
+    return out
