@@ -4,37 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.storage import shared_dir, stored  # noqa: F401
+
 #: Columns that name a row of the input: a hash of its file's path and its place in that file.
 ROW_KEY = ("__source_file", "__source_row")
 #: Texts that Python workers take from Arrow at a time, so that a batch of long texts still fits.
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the session's spark.checkpoint.dir, set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = "/tmp/lectern-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: this cuts its lineage and outlives executors."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def scanned(df: DataFrame) -> DataFrame:
     """df if it is a scan of files, with columns and filters at most, so that rows have a place in a file; else df stored and read again."""
     node = df._jdf.queryExecution().analyzed()
