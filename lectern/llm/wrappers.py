@@ -54,9 +54,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment "
     "comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related "
-    "recommended recommendations widget toolbar pagination pager login search skip copyright".split()
+    "recommended recommendations responses rail widget toolbar pagination pager login search skip copyright".split()
 )
 MAIN = ("article", "main")
+#: Those of them that also mark an <article> (a comment or an advert may be one).
+MARKS_OF_ARTICLES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
 
 
 class Page:
@@ -135,8 +137,8 @@ class Page:
             label = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
             drop = out or name in LEFT_OUT or attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true"
             drop = drop or "display:none" in attrs.get("style", "").replace(" ", "").lower() or bool(re.search(r"\shidden(?=[\s/>])", token))
-            if not drop and name not in ("html", "body", *MAIN) and label.strip():
-                drop = not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", label))
+            if not drop and name not in ("html", "body", "main") and label.strip():
+                drop = not (MARKS_OF_ARTICLES if name == "article" else MARKS).isdisjoint(re.split(r"[^a-z0-9]+", label))
             if name in RAW:  # their content is no markup
                 lower = lower or source.lower()
                 end = lower.find(f"</{name}", m.end())

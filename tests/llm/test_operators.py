@@ -393,7 +393,7 @@ def test_license_notices(spark, none):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>{nav}</ul></nav><div class="ad">buy {n}</div>
-<article><h1>Head {n} &amp; more</h1><div class="notice">We use cookies</div><p>{a}<br><p><b>{b}</b>&nbsp;end</p><aside>no</aside><form><p>mail</p></form>{list}<section id="comments"><p>me too</p></section></article><footer>f</footer></body></html>"""
+<article><h1>Head {n} &amp; more</h1><div class="notice">We use cookies</div><p>{a}<br><p><b>{b}</b>&nbsp;end</p><aside>no</aside><form><p>mail</p></form>{list}<section id="comments"><p>me too</p></section></article><article class="comment"><p>first!</p></article><footer>f</footer></body></html>"""
 
 
 def test_main_text(spark):
