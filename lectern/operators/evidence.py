@@ -280,3 +280,26 @@ def admitted(channels: dict[str, DataFrame], key: str, quota: int = 20) -> DataF
 
     rows = reduce(DataFrame.unionByName, (f.select(key, "rank", F.lit(name).alias("channel")) for name, f in channels.items()))
     return quotas(rows, key, "channel", [F.col("rank"), F.col(key)], quota)
+
+
+#: Ask words of answer slots, and relation classes with the words that ask for them and those that tell of them: a starting vocabulary, in traditional script.
+SLOTS = {"time": ("何時", "哪一年", "什麼時候"), "place": ("何地", "在哪裡", "哪裡"), "reason": ("為何", "為什麼", "何故"), "quantity": ("多少", "幾"), "office": ("何官", "什麼官")}
+RELATIONS = {"death": (("死", "去世"), ("卒", "薨", "崩", "死")), "accession": (("即位", "繼位"), ("即位", "立")), "military": (("攻打", "征伐", "戰"), ("伐", "攻", "圍", "敗")), "movement": (("遷", "逃"), ("遷", "奔", "徙")), "resignation": (("辭官", "去官"), ("去官", "辭官"))}
+
+
+def question_plan(question: str) -> tuple[Plan, list[str], list[str]]:
+    """A question as a plan, with its answer slots and relation classes. What is neither names the subject first and then clues; nothing is guessed about who they are."""
+    rest, slots, kinds, told = question, [], [], []
+    for slot, asks in SLOTS.items():
+        if any(a in rest for a in asks):
+            slots.append(slot)
+            for a in sorted(asks, key=len, reverse=True):
+                rest = rest.replace(a, " ")
+    for kind, (asks, words) in RELATIONS.items():
+        if any(a in rest for a in asks):
+            kinds.append(kind)
+            told += words
+            for a in sorted(asks, key=len, reverse=True):
+                rest = rest.replace(a, " ")
+    runs = re.findall("[㐀-鿿]{2,}", re.sub("[的了在是與和？]", " ", rest))
+    return Plan(tuple(runs[:1]), tuple(dict.fromkeys(told)), tuple(runs[1:4])), slots, kinds
