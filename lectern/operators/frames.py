@@ -156,7 +156,7 @@ def advice(text: str, verbs: tuple[str, ...] = ("勸", "說", "諫", "請")) ->
         if depth:
             continue
         lo = max((text.rfind(c, 0, s) for c in "。！？；\n」”"), default=-1) + 1
-        m = re.fullmatch(f"\\s*(?P<speaker>{HAN}{{1,4}}?)(?:{_any(ADVERBS)})?{_any(verbs)}(?P<addressee>{HAN}{{0,4}}?)曰[：:]?", text[lo:s])
+        m = re.fullmatch(f"\\s*(?P<speaker>{HAN}{{1,4}}?)(?:{_any(ADVERBS)})?{_any(verbs)}[於于]?(?P<addressee>{HAN}{{0,4}}?)曰[：:]?", text[lo:s])
         if m:
             inner = [(s + 1 + a, s + 1 + b) for a, b in units(text[s + 1 : e - 1])]
             why = [x for x in inner if re.search("[故因]|以其|所以|恐", text[slice(*x)])]

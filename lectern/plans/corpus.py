@@ -103,3 +103,9 @@ def D06_catalog_states(spark, sf):
 def N15_shaped_results(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", F.col("quality").alias("label")), {"ignoreNullFields": "false"}).alias("shaped"))
+add("E10_time_slots", ["春正月甲子，公至自齊。", "公至自齊。"], lambda t: [f"{n}|{'/'.join(d.values())}" for n, d in [V.date_prefix(t)] if n] if V.date_prefix(t) else [], (1, 1, "5|春/正月/甲子"))
+add("E13_execution_terms", ["誅丁公。二年，斬丁公于市。"], lambda t: [f"{o['quote']}|{t[slice(*o['predicate_span'])]}" for o in R.executions(t, ("丁公",))], (1, 1, "二年，斬丁公于市。|斬丁公"))
+add("E15_advice_without_reason", ["或請於公曰：「戰。」", "范增說項王曰：「殺之。」"], lambda t: [f"{o['speaker']}>{o['addressee']}|{len(o['reason_spans'])}" for o in R.advice(t)], (1, 1, "或>公|0"), (2, 1, "范增>項王|0"))
+add("E16_office_departure", ["王安遂去官。", "王安不去官。", "「王安去官」。"], lambda t: [o["polarity"] for o in R.roles(t, ("王安",)) if o["kind"] == "resignation"], (1, 1, "positive_syntax"), (2, 1, "negated"))
+add("E02_relation_classes", ["楚莊王為什麼遷", "誰繼位了"], lambda t: [",".join(V.question_plan(t)[2]) + "|" + "、".join(V.question_plan(t)[0].relation)], (1, 1, "movement|遷、奔、徙"), (2, 1, "accession|即位、立"))
+add("E05_feature_order", ["晉人來。齊侯卒。"], lambda t: [f"{V.audit(t, PLAN)[0]}|{V.features(t, PLAN)['gap']}"], (1, 1, "clues_present|0"))

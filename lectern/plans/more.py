@@ -250,3 +250,65 @@ def E24_unique_quotes(spark, sf):
     at = F.instr("text", "ver")
     once = F.size(F.split("text", "ver")) == 2
     return table(spark, sf, "documents").where(once).select("doc_id", (at - 1).cast("long").alias("start"), F.substring("text", at, F.lit(8)).alias("quote"))
+
+
+@query("WITH c AS (SELECT doc_id, CAST(n AS INT) AS n, n * 20 AS s, n * 20 + length(substr(text, CAST(n * 20 + 1 AS INT), 240)) AS e FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 220) / 20.0) AS INT) - 1, 0))) AS n FROM documents WHERE length(text) BETWEEN 1 AND 1500)) SELECT a.doc_id, a.n AS a, b.n AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.n < b.n WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.8 * least(a.e - a.s, b.e - b.s)")
+def J12_span_overlap(spark, sf):
+    c = Q.windows(table(spark, sf, "documents").where("length(text) <= 1500"), ["doc_id"], "text", 240, 220).select("doc_id", "n", F.col("start").alias("s"), (F.col("start") + F.length("piece")).alias("e"))
+    # spans of one text that overlap share a cell of 240 characters, or lie in neighbouring ones
+    cell = F.floor(F.col("s") / 240)
+    b = c.select("doc_id", F.col("n").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(F.array(cell - 1, cell)).alias("cell"))
+    near = c.withColumn("cell", cell).join(b, ["doc_id", "cell"]).where("n < b")
+    return near.where(F.least("e", "e2") - F.greatest("s", "s2") >= 0.8 * F.least(F.col("e") - F.col("s"), F.col("e2") - F.col("s2"))).select("doc_id", F.col("n").alias("a"), "b")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE contains(text, 'rein') GROUP BY 1")
+def S10_view_scan(spark, sf):
+    table(spark, sf, "documents").createOrReplaceTempView("lectern_documents")
+    return spark.sql("SELECT lang, count(*) AS n FROM lectern_documents WHERE contains(text, 'rein') GROUP BY lang")
+
+
+@query(f"""WITH {PASSAGES}, l AS (SELECT 1 AS no, passage_id AS item, row_number() OVER (ORDER BY passage_id) AS rank FROM passages WHERE contains(text_orig, 'rein') QUALIFY rank <= 20
+UNION ALL SELECT 2, passage_id, row_number() OVER (ORDER BY passage_id) AS rank FROM passages WHERE contains(text_orig, 'ung') QUALIFY rank <= 20), f AS (SELECT item, min(struct_pack(r := rank, l := no)) AS k FROM l GROUP BY 1) SELECT item, row_number() OVER (ORDER BY k, item) AS place FROM f ORDER BY k, item LIMIT 40""")
+def C13_planned_channel(spark, sf):
+    p = passages(spark, sf)
+    lists = [D.ranked(p.where(F.col("text_orig").contains(t)).select(F.col("passage_id").alias("item")).orderBy("item").limit(20), [F.col("item")]).withColumn("list_no", F.lit(i)) for i, t in ((1, "rein"), (2, "ung"))]
+    return Q.interleaved(lists[0].unionByName(lists[1]), "item", "list_no", "rank", 40)
+
+
+@query("SELECT * FROM (VALUES ('rein'), ('ung'), ('au'), ('ver'), ('tion'), ('shth')) t(term)")
+def N07_flat_expansion(spark, sf):
+    q = N.analyze("how did rein and shth", WORDS)
+    terms = [f for e in q.entities for f in (*e.canonical, *e.alias, *e.weak)] + list(q.strong) + list(q.topics)
+    return spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
+
+
+@query("SELECT 0 AS differing")
+def D10_bm25_check(spark, sf):
+    """BM25 by scan against BM25 from postings, for one trigram: rows that differ by more than 1e-9."""
+    p = passages(spark, sf).where("normalized_text is not null").select("passage_id", F.lower("normalized_text").alias("normalized_text"))
+    scan = S.bm25(p, ["ung"]).select("passage_id", "score")
+    posts = S.postings(p.where(F.col("normalized_text").contains("ung")), 3).where("gram = 'ung'")
+    size = F.greatest(F.length("normalized_text") - 2, F.lit(0))
+    totals = p.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total")).crossJoin(posts.agg(F.count(F.lit(1)).alias("df")))  # one row each
+    both = posts.join(p, "passage_id").crossJoin(F.broadcast(totals))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(S.LEAST_IDF))
+    other = -idf * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * size / (F.col("total") / F.col("n"))))
+    joined = scan.join(both.select("passage_id", other.alias("other")), "passage_id", "full_outer")
+    return joined.where("other is null or score is null or abs(score - other) > 1e-9").agg(F.count(F.lit(1)).cast("int").alias("differing"))
+
+
+@query()
+def Q15_blocks_with_metadata(spark, sf):
+    rows = _block_rows(spark, sf)
+    found = B.assemble(rows, rows.where(F.col("text_orig").contains("rein")).select("file_id", "row_no", F.lit(0.0).alias("score")), "long")
+    meta = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("book_id"), "lang")
+    return found.join(meta, "file_id").select("block_id", "book_id", "lang", "row_first", "row_last", "match_count", "n_chars")
+
+
+@query()
+def C08_expanded_mode(spark, sf):
+    p = passages(spark, sf)
+    anchors = K.grounded(p, ["xreinx"])
+    lists = [D.ranked(S.hits(p, S.plan(s)).select("passage_id").orderBy("passage_id").limit(60), [F.col("passage_id")]) for s in K.searches(anchors, ["ver"])]
+    return D.fuse({f"search {i}": f for i, f in enumerate(lists)}, "passage_id", 20)
