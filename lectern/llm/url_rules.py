@@ -29,15 +29,20 @@ SAMPLE = 100
 END = b"\x00"
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ://; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """From after the first :// to the next /, ?, # or the end, with A-Z lower-cased; empty without ://."""
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(after_scheme(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
     """From the host's end to ? or # or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def host_key(host: Column) -> Column:

@@ -287,7 +287,7 @@ def test_url_rules(spark):
     rng = random.Random(4)
     hosts = ["net", "a.net", "b.a.net", "xnet", "net.org", "org", "A.Net", "", "a.net:80", "c.b.a.net", "org.", "é.org"]
     paths = ["", "/", "/en", "/en/x", "/en/xy?q#f", "/fr/", "?x", "#y", "/EN/"]
-    urls = [rng.choice(["http://", "x://", ""]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "", "://", "a://b://c/d"]
+    urls = [rng.choice(["http://", "x://", ""]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "", "://", "a://b://c/d", "x" * 60_000, "y" * 60_000 + "://" + "a." * 30_000 + "net/" + "p" * 60_000, "h\nt://a.net/\n/en?"]
     rules = [("net", "/", "block"), ("a.net", "/en/", "allow"), ("b.a.net", "", "block"), ("a.net", "/en/xy", "block"), ("org", "/fr/", "allow"), ("org", "/fr/", "block"), ("A.net", "/EN/", "block")]
     got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string"), "page_id").collect()
     assert len(got) == len(urls)
