@@ -26,7 +26,7 @@ from lectern.llm.common import as_bytes, slices
 #: Texts of more characters than this are split and encoded piece by piece.
 LONG_TEXT = 1 << 20
 #: Pre-tokens remembered by a worker, and the longest one that is.
-MEMO, MEMO_BYTES = 200_000, 64
+MEMO, MEMO_BYTES = 500_000, 64
 
 
 def load_ranks(path: str) -> list[bytes]:
