@@ -1,7 +1,7 @@
 """Document quality by ordinal cumulative-link regression on hashed text.
 
 Ratings are ordered grades 0 < 1 < ... < k-1. One weight vector over hashed features gives a document's score s; ordered thresholds
-t1 < ... < t(k-1) give P(grade >= j) = sigmoid(s - tj). Features whose rates differ between no two adjacent grades are left out; the
+t1 < ... < t(k-1) give P(grade >= j) = sigmoid(s - tj). Features whose rates below and from a grade on differ for no grade are left out; the
 weights of the others and the thresholds are fitted together by L-BFGS with a ridge penalty. A document's expected grade is the sum of its
 tail probabilities, and it is kept if the tail at the chosen grade is at least one half.
 
@@ -84,16 +84,15 @@ def scores(weights: np.ndarray, feature: np.ndarray, first: np.ndarray) -> np.nd
 
 
 def screened(feature: np.ndarray, of: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
-    """Features whose rates in some two adjacent grades differ by Z standard errors. of: the grade of each feature's document."""
-    size = PLACES + _RATES * _BANDS
+    """Features whose rates below and from some grade on differ by Z standard errors. of: the grade of each feature's document."""
+    size, n = PLACES + _RATES * _BANDS, max(1, len(grade))
     seen = np.stack([np.bincount(feature[of == j], minlength=size) for j in range(grades)])
-    n = np.bincount(grade, minlength=grades)
+    every = seen.sum(axis=0)
     out = np.zeros(size, dtype=bool)
-    for j in range(grades - 1):
-        both, total = seen[j] + seen[j + 1], max(1, n[j] + n[j + 1])
-        share = n[j + 1] / total
-        error = np.sqrt(np.maximum(both * share * (1 - share) * (1 - both / total), 1e-9))
-        out |= (np.abs(seen[j + 1] - both * share) >= Z * error) & (both > 1)
+    for j in range(1, grades):
+        share = (grade >= j).mean() if len(grade) else 0.0
+        error = np.sqrt(np.maximum(every * share * (1 - share) * (1 - every / n), 1e-9))
+        out |= (np.abs(seen[j:].sum(axis=0) - every * share) >= Z * error) & (every > 1)
     return out
 
 
@@ -133,8 +132,8 @@ def minimized(f, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
 def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the negative log-likelihood plus ridge / 2 times the weights' sum of squares.
 
-    Features that differ between no two adjacent grades get no weight. Thresholds stay in order, as they are written as a first one
-    and the logarithms of the gaps.
+    Features that screened() leaves out get no weight. Thresholds stay in order, as they are written as a first one and the
+    logarithms of the gaps.
     """
     n = len(grade)
     owner = np.repeat(np.arange(n), np.diff(first))
