@@ -35,9 +35,18 @@ def fold(text: Column | str) -> Column:
     return F.translate(col(text), UPPER, LOWER)
 
 
+def literal(term: str) -> str:
+    """A pattern that matches the term itself."""
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def has_case(term: str) -> bool:
+    return any("a" <= c <= "z" or "A" <= c <= "Z" for c in term)
+
+
 def contains(text: Column | str, term: str) -> Column:
-    """Substring test that ignores the case of ASCII letters; wildcards have no meaning."""
-    return fold(text).contains(term.translate(str.maketrans(UPPER, LOWER)))
+    """Substring test that ignores the case of ASCII letters; wildcards have no meaning. Terms without such letters need no folding."""
+    return col(text).rlike("(?i)" + literal(term)) if has_case(term) else col(text).contains(term)
 
 
 def contains_any(text: Column | str, terms: list[str]) -> Column:
@@ -51,8 +60,9 @@ def contains_all(text: Column | str, groups: list[list[str]]) -> Column:
 
 def occurrences(text: Column | str, term: str) -> Column:
     """How often a term occurs, without overlaps."""
-    x = fold(text)
-    return ((F.length(x) - F.length(F.replace(x, F.lit(term.lower()), F.lit("")))) / len(term)).cast("int")
+    if has_case(term):
+        return F.regexp_count(col(text), F.lit("(?i)" + literal(term)))
+    return ((F.length(col(text)) - F.length(F.replace(col(text), F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
 def bare_mention(text: Column | str, name: str, before: str) -> Column:
