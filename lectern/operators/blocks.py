@@ -8,6 +8,7 @@ reached, a side closing at a boundary or where the block would become too large.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,13 +35,14 @@ class File:
         self.text = rows["text_orig"].fillna("").tolist()
         self.kind = rows["kind"].tolist()
         self.same = list(zip(rows["layer"].tolist(), rows["boundary"].fillna("").tolist()))
+        self.ahead = list(accumulate(map(len, self.text), initial=0))  # characters before each row
         self.limits = limits
 
     def joins(self, anchor: int, i: int) -> bool:
         return 0 <= i < len(self.row) and (self.kind[i] != "passage" or self.same[i] == self.same[anchor])
 
     def size(self, lo: int, hi: int) -> int:
-        return sum(map(len, self.text[lo : hi + 1]))
+        return self.ahead[hi + 1] - self.ahead[lo]
 
     def fits(self, lo: int, hi: int) -> bool:
         return hi - lo + 1 <= self.limits.passages and self.size(lo, hi) <= self.limits.chars
