@@ -43,17 +43,23 @@ _DIGIT = np.array([48 <= i <= 57 for i in range(256)])
 _SPACE = np.array([i in (9, 10, 11, 12, 13, 32) for i in range(256)])
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which for integers is many times faster than its hashing."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text, one after another, and where each text's begin."""
     found = hash_words(texts, True, AFFIXES)
     owner, n = found.owner(), np.diff(found.first)
 
     def places(hashes):
-        return np.unique(owner * PLACES + (hashes >> np.uint64(64 - 20)).astype(np.int64))
+        return distinct_sorted(owner * PLACES + (hashes >> np.uint64(64 - 20)).astype(np.int64))
 
     own = places(found.hashes)
     distinct = np.bincount(own // PLACES, minlength=len(texts))
-    own = np.unique(np.concatenate([own, *map(places, found.affixes)]))
+    own = distinct_sorted(np.concatenate([own, *map(places, found.affixes)]))
     sizes = np.array([len(t) for t in texts])
     b = np.frombuffer(b"".join(texts), dtype=np.uint8)
     first = np.cumsum(np.r_[0, sizes])
