@@ -183,7 +183,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = stored(rows.mapInArrow(run, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, fp long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
     nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("first")))
-    roots = stored(components(links(nodes)))
+    return settled(rows, nodes, stored(components(links(nodes))))
+
+
+def settled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (ROW_KEY, id, fp) with component_id and best; nodes: fp and its first row, roots: node and root."""
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     member = member.select("fp", "root", "first").unionByName(nodes.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select("fp", F.col("fp").alias("root"), "first"))
     firsts = member.groupBy("root").agg(F.min("first").alias("chosen"))
