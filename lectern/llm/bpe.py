@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, slices
 
@@ -213,3 +214,20 @@ def round_trip(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row its ids, their number, and the digests of these ids and of what they decode to."""
+    shared = docs.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            rows = [(len(x), hashlib.sha256(",".join(map(own.digits.__getitem__, x)).encode()).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in batch.column(1).to_pylist()]
+            n, ids, back = zip(*rows) if rows else ((), (), ())
+            cols = [batch.column(0), pa.array(n, pa.int64()), batch.column(1), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    ids = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), codec).select("doc_id", "token_ids")
+    return ids.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")
