@@ -43,6 +43,7 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Containers that an inline end tag does not close, and in which implied ends stop.
 SCOPE = frozenset("article aside blockquote body caption dd details div dl dt fieldset figure footer form header html li main nav ol section table td th ul".split())
@@ -75,8 +76,6 @@ class Page:
         stack: list[tuple[str, int, bool]] = []  # name, container, left out from here on
         text: list[str] = []
         container, out, skip_raw = 0, False, ""
-        tokens = _TOKEN.finditer(source)
-        lower = None
 
         def flush():
             if text:
@@ -94,11 +93,9 @@ class Page:
                     self.stream.append(f"</{name}>")
             container, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
-        until = 0
-        for m in tokens:
-            if m.start() < until:
-                continue
-            token = m[0]
+        at = 0
+        while m := _TOKEN.match(source, at):
+            token, at = m[0], m.end()
             if token[0] != "<" or len(token) == 1:
                 if not skip_raw:
                     text.append(token)
@@ -140,9 +137,8 @@ class Page:
             if not drop and name not in ("html", "body", "main") and label.strip():
                 drop = not (MARKS_OF_ARTICLES if name == "article" else MARKS).isdisjoint(re.split(r"[^a-z0-9]+", label))
             if name in RAW:  # their content is no markup
-                lower = lower or source.lower()
-                end = lower.find(f"</{name}", m.end())
-                until = end if end >= 0 else len(source)
+                end = _RAW_ENDS[name].search(source, at)
+                at = end.start() if end else len(source)  # tokens start anew there
                 self.stream.append(f"<{name}>")
                 stack.append((name, container, True))
                 continue
