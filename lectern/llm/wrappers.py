@@ -6,15 +6,15 @@ optional group, and a repeated group takes up further repetitions. The result is
     <article> <h1> # </h1> ( <p> # </p> )+ ( <ul> ( <li> # </li> )+ </ul> )? </article>
 With it come sums of text by container over the host's pages. The region of the main text is <article> or <main> where most
 pages have it, else the innermost container with most of the text; in the region, menus, headers, footers, asides, forms, adverts,
-notices, comments and the like are left out by tag, role and class, and so are constant texts outside groups that CONSTANT_PAGES different pages
-share, which belong to the template. All other text stays, in page order, one line for each block. Hosts of one page, and pages in which the host's
+notices, comments and the like are left out by tag, role and class. Where the region is neither <article> nor <main>, constant texts outside groups and
+outside such elements that CONSTANT_PAGES different pages share belong to the template and are left out, too; pages that are equal count once, whichever tasks read them. All other text stays, in page order, one line for each block. Hosts of one page, and pages in which the host's
 region is missing, use the page's own sums.
 
 Folding is by task, then by host and salt, then by host, so a host with a third of all pages is folded in parallel, and each fold
 holds structures and sums but no texts. The summaries of HOST_ROWS hosts at most are broadcast; of more, they meet the pages in a shuffle.
 
-Null html counts as empty and gives an empty text; null URLs form a host of their own. Repeated rows are extracted each and
-count once as evidence within a task. Broken markup is closed as browsers do for the common cases. An empty table gives no rows.
+Null html counts as empty and gives an empty text; null URLs form a host of their own. Repeated rows are extracted each;
+in sums and structures they count once within a task, as evidence of a template once altogether. Broken markup is closed as browsers do for the common cases. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,10 +177,11 @@ class Page:
         """Blocks in the region that are not left out; in the page's own region if it is missing here."""
         if region is None or not any(sig == region for sig, _ in self.containers):
             region = choose({s: [1, n, d] for s, (n, d) in self.sums().items()}, 1)
-        inside = [False] * len(self.containers)
+        inside, main = [False] * len(self.containers), [False] * len(self.containers)
         for i, (sig, parent) in enumerate(self.containers):
             inside[i] = sig == region or (parent >= 0 and inside[parent])
-        kept = [t for t, at, out in self.blocks if not out and inside[at] and not (constant and zlib.crc32(t.encode("utf-8", "replace")) in constant)]
+            main[i] = re.split(r"[.#]", sig)[0] in MAIN or (parent >= 0 and main[parent])
+        kept = [t for t, at, out in self.blocks if not out and inside[at] and not (constant and not main[at] and zlib.crc32(t.encode("utf-8", "replace")) in constant)]
         return "\n".join(kept)
 
 
@@ -293,14 +295,15 @@ class Fold:
     """What pages of a host have shown: structures with their texts, and sums by container."""
 
     def __init__(self):
-        self.pages, self.forms, self.sums, self.seen = 0, {}, {}, set()
+        self.pages, self.forms, self.sums, self.seen, self.marks = 0, {}, {}, set(), []
 
     def add(self, source: str) -> None:
-        mark = zlib.crc32(source.encode("utf-8", "replace"))
+        mark = xxhash.xxh64_intdigest(source.encode("utf-8", "replace"))
         if mark in self.seen:
             return
         if len(self.seen) < 10_000:
             self.seen.add(mark)
+        self._mark([mark])
         page = Page(source)
         nodes = grouped(page.stream)
         self._form(json.dumps([n if isinstance(n, str) or n[0] == "+" else ["#", 0] for n in nodes]), 1, [n[1] for n in nodes if not isinstance(n, str) and n[0] == "#"])
@@ -308,6 +311,10 @@ class Fold:
         for sig, (n, d) in page.sums().items():
             self._sum(sig, 1, n, d)
 
+    def _mark(self, marks: list[int]) -> None:
+        """The smallest digests of different pages, as many as count as evidence of a template."""
+        self.marks = sorted({*self.marks, *marks})[:CONSTANT_PAGES]
+
     def _form(self, shape: str, count: int, texts: list) -> None:
         if old := self.forms.get(shape):
             old[0] += count
@@ -320,11 +327,12 @@ class Fold:
         x[0], x[1], x[2] = x[0] + pages, x[1] + n, max(x[2], depth)
 
     def packed(self) -> bytes:
-        return zlib.compress(json.dumps([self.pages, self.forms, self.sums]).encode(), 1)
+        return zlib.compress(json.dumps([self.pages, self.forms, self.sums, self.marks]).encode(), 1)
 
     def merge(self, raw: bytes) -> None:
-        pages, forms, sums = json.loads(zlib.decompress(raw))
+        pages, forms, sums, marks = json.loads(zlib.decompress(raw))
         self.pages += pages
+        self._mark(marks)
         for shape, (count, texts) in forms.items():
             self._form(shape, count, texts)
         for sig, x in sums.items():
@@ -379,7 +387,7 @@ def infer(pages: DataFrame, url: str = "url", content: str = "html") -> DataFram
         for raw in table.column("fold").to_pylist():
             fold.merge(raw)
         nodes = fold.wrapper()
-        constant = sorted({n[1] for n in nodes if not isinstance(n, str) and n[0] == "#" and n[1] is not None}) if fold.pages >= CONSTANT_PAGES else []
+        constant = sorted({n[1] for n in nodes if not isinstance(n, str) and n[0] == "#" and n[1] is not None}) if len(fold.marks) >= CONSTANT_PAGES else []
         return pa.table({"host": [table.column("host")[0].as_py()], "pages": [fold.pages], "region": [choose(fold.sums, fold.pages)], "constants": pa.array([constant], pa.list_(pa.int64())), "wrapper": [shown(nodes)]})
 
     folds = stored(pages.select(url, content).mapInArrow(first, kind))

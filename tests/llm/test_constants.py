@@ -1,0 +1,23 @@
+"""What counts as a host's template."""
+
+from lectern.llm.wrappers import extract
+
+
+def found(spark, pages, parts):
+    rows = [(i, "http://host.example/", p) for i, p in enumerate(pages)]
+    return [r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<div><h1>title</h1><ul><li>one</li></ul><h2>part</h2></div>"
+    assert found(spark, [page] * 40, 12) == found(spark, [page] * 40, 1) == ["title\none\npart"] * 40
+
+
+def test_lines_shared_in_the_article_stay(spark):
+    pages = [f"<article><h1>title</h1><p>text {i}</p><h2>part</h2></article>" for i in range(12)]
+    assert found(spark, pages, 3) == [f"title\ntext {i}\npart" for i in range(12)]
+
+
+def test_lines_shared_elsewhere_are_template(spark):
+    pages = [f"<div><h1>title</h1><p>text {i}</p><h2>part</h2></div>" for i in range(12)]
+    assert found(spark, pages, 3) == [f"text {i}" for i in range(12)]
