@@ -16,11 +16,11 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, slices
 
@@ -219,15 +219,25 @@ def round_trip(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str
 def tokenized(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its ids, their number, and the digests of these ids and of what they decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
+    names = ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            rows = [(len(x), hashlib.sha256(",".join(map(own.digits.__getitem__, x)).encode()).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in batch.column(1).to_pylist()]
-            n, ids, back = zip(*rows) if rows else ((), (), ())
-            cols = [batch.column(0), pa.array(n, pa.int64()), batch.column(1), pa.array(ids, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for batch in slices(whole, 1, 2 << 20):
+                rows = []
+                for x in as_bytes(batch.column(1)):
+                    parts, listed, decoded = [], hashlib.sha256(), hashlib.sha256()
+                    for ids in own.encode(x.decode("utf-8", "replace")):
+                        if ids:
+                            listed.update((("," if parts else "") + ",".join(map(own.digits.__getitem__, ids))).encode())
+                            decoded.update(own.decode(ids))
+                            parts.append(np.array(ids, dtype=np.int32))
+                    rows.append((np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), listed.hexdigest(), decoded.hexdigest()))
+                ids, listed, decoded = zip(*rows)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), lists, pa.array(listed), pa.array(decoded)], names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    ids = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), codec).select("doc_id", "token_ids")
-    return ids.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string")
