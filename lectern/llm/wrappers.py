@@ -1,29 +1,29 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
-A page becomes a stream of tags and texts. Within a page, equal neighbouring stretches become a repeated group. Pages of a host are
-then aligned, the most frequent structure first: texts that differ become slots, texts that agree stay constant, tags that only one side has become an
-optional group, and a repeated group takes up further repetitions. The result is the host's wrapper, for instance
+A page is a stream of tags and texts, kept as a tree so that every part of an expression is closed where it was opened. Within a page, equal neighbouring
+stretches become a repeated group. The streams of a host's different structures are then aligned one after another, element by element: texts that differ become slots,
+texts that agree stay constant, what only one side has becomes an optional group, and a repeated group takes up further repetitions, for instance
     <article> <h1> # </h1> ( <p> # </p> )+ ( <ul> ( <li> # </li> )+ </ul> )? </article>
-With it come sums of text by container over the host's pages. The region of the main text is <article> or <main> where most
-pages have it, else the innermost container with most of the text; in the region, menus, headers, footers, asides, forms, adverts,
-notices, comments and the like are left out by tag, role and class. Where the region is neither <article> nor <main>, constant texts outside groups and
-outside such elements that CONSTANT_PAGES different pages share belong to the template and are left out, too; pages that are equal count once, whichever tasks read them. All other text stays, in page order, one line for each block. Hosts of one page, and pages in which the host's
-region is missing, use the page's own sums.
+Contents with more than WIDE members become a repeated group of all their kinds, ( <h2>..? <p>..? )+, and what lies deeper than DEEP is a slot, so a wrapper
+stays small however many structures a host has. Every page is in the language of its host's wrapper.
 
-Folding is by task, then by host and salt, then by host, so a host with a third of all pages is folded in parallel, and each fold
-holds structures and sums but no texts. The summaries of HOST_ROWS hosts at most are broadcast; of more, they meet the pages in a shuffle.
+The wrapper says where the main text is: in its articles, else in its <main>, else in the innermost container with SHARE of the text in slots and repeated groups (of
+all text, where nothing varies). To extract, a page's stream is matched with the wrapper along the way to these places; all text of the parts that match them is
+the main text, constant or not, and the template's text leaves because it lies elsewhere. A page of which nothing matches is a host of its own. What is left out by
+tag, role or name (see `markup`) is in no stream.
 
-Null html counts as empty and gives an empty text; null URLs form a host of their own. Repeated rows are extracted each;
-in sums and structures they count once within a task, as evidence of a template once altogether. Broken markup is closed as browsers do for the common cases. An empty table gives no rows.
+The result does not depend on how rows are dealt: tasks sum equal structures (their texts' lengths, and texts where they agree), structures meet by host and
+a hash of their own, sorted, and are aligned in that order, SALTS lists for a host and then these lists' wrappers. So a host with a third of all pages is folded in
+parallel, a task holds one wrapper and one structure at a time, and no text is shuffled. The hosts' places are broadcast if they have BROADCAST_BYTES at most; beyond,
+they meet the pages in a shuffle.
+
+Null html counts as empty and gives an empty text; null URLs form a host of their own. Repeated rows are extracted each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import difflib
-import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,396 +31,501 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, slices, stored
-
-HOST_ROWS = 100_000
-CONSTANT_PAGES = 8
-SALTS = 64
-#: Hosts that a task folds before it hands them on, and the longest stretch that is looked for as a repeated group.
-FOLDED, LONGEST_GROUP = 5_000, 8
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp".split())
-_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Containers that an inline end tag does not close, and in which implied ends stop.
-SCOPE = frozenset("article aside blockquote body caption dd details div dl dt fieldset figure footer form header html li main nav ol section table td th ul".split())
-#: Open elements that a start tag ends.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that mark what is no main text.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment "
-    "comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related "
-    "recommended recommendations responses rail widget toolbar pagination pager login search skip copyright".split()
-)
-MAIN = ("article", "main")
-#: Those of them that also mark an <article> (a comment or an advert may be one).
-MARKS_OF_ARTICLES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
-
-
-class Page:
-    """Blocks of text with the containers that they lie in, and the stream of tags and texts."""
-
-    def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, bool]] = []  # text, innermost container, left out
-        self.containers: list[tuple[str, int]] = [("", -1)]  # signature, parent
-        self.linked: dict[int, int] = {}
-        self.stream: list = []
-        self._parse(source)
-
-    def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # name, container, left out from here on
-        text: list[str] = []
-        container, out, skip_raw = 0, False, ""
-
-        def flush():
-            if text:
-                joined = " ".join(html.unescape("".join(text)).split())
-                text.clear()
-                if joined:
-                    self.blocks.append((joined, container, out))
-                    self.stream.append(zlib.crc32(joined.encode("utf-8", "replace")))
-
-        def close(to: int):
-            nonlocal container, out
-            while len(stack) > to:
-                name, _, _ = stack.pop()
-                if name not in INLINE:
-                    self.stream.append(f"</{name}>")
-            container, out = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-
-        at = 0
-        while m := _TOKEN.match(source, at):
-            token, at = m[0], m.end()
-            if token[0] != "<" or len(token) == 1:
-                if not skip_raw:
-                    text.append(token)
-                continue
-            found = _NAME.match(token)
-            if not found:
-                continue  # comment or declaration
-            name = found[1].lower()
-            if token[1] == "/":
-                if name in VOID:
-                    continue
-                if name not in INLINE:
-                    flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if name in INLINE and stack[i][0] in SCOPE or name == "p" and stack[i][0] in SCOPE:
-                        break
-                continue
-            if name not in INLINE:
-                flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ENDS.get(name, ()) or stack[i][0] == "p":
-                        close(i)
-                        if stack and stack[-1][0] in ENDS.get(name, ()):
-                            continue
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
-            if name in VOID:
-                if name in ("br", "hr"):
-                    flush()
-                continue
-            attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(token)} if len(token) > len(name) + 2 else {}
-            label = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-            drop = out or name in LEFT_OUT or attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true"
-            drop = drop or "display:none" in attrs.get("style", "").replace(" ", "").lower() or bool(re.search(r"\shidden(?=[\s/>])", token))
-            if not drop and name not in ("html", "body", "main") and label.strip():
-                drop = not (MARKS_OF_ARTICLES if name == "article" else MARKS).isdisjoint(re.split(r"[^a-z0-9]+", label))
-            if name in RAW:  # their content is no markup
-                end = _RAW_ENDS[name].search(source, at)
-                at = end.start() if end else len(source)  # tokens start anew there
-                self.stream.append(f"<{name}>")
-                stack.append((name, container, True))
-                continue
-            inner = container
-            if name not in INLINE and name != "p":
-                signature = name + "".join("." + x for x in sorted(set(attrs.get("class", "").split()))) + ("#" + attrs["id"] if attrs.get("id") else "")
-                if attrs.get("role", "").lower() == "main":
-                    signature = "main"
-                inner = len(self.containers)
-                self.containers.append((signature, container))
-            if name not in INLINE:
-                self.stream.append(f"<{name}>" if inner == container else f"<{self.containers[inner][0]}>")
-            stack.append((name, inner, drop))
-            container, out = inner, drop
-        flush()
-        close(0)
-
-    def sums(self) -> dict[str, tuple[int, int]]:
-        """By signature of container: characters that are not left out, and depth."""
-        depth, found = [0], {}
-        for sig, parent in self.containers[1:]:
-            depth.append(depth[parent] + 1)
-        for text, at, out in self.blocks:
-            seen = set()
-            while not out and at >= 0:
-                sig = self.containers[at][0]
-                if sig not in seen:
-                    seen.add(sig)
-                    n, d = found.get(sig, (0, 0))
-                    found[sig] = (n + len(text), max(d, depth[at]))
-                at = self.containers[at][1]
-        return found
-
-    def text(self, region: str | None, constant: frozenset[int] = frozenset()) -> str:
-        """Blocks in the region that are not left out; in the page's own region if it is missing here."""
-        if region is None or not any(sig == region for sig, _ in self.containers):
-            region = choose({s: [1, n, d] for s, (n, d) in self.sums().items()}, 1)
-        inside, main = [False] * len(self.containers), [False] * len(self.containers)
-        for i, (sig, parent) in enumerate(self.containers):
-            inside[i] = sig == region or (parent >= 0 and inside[parent])
-            main[i] = re.split(r"[.#]", sig)[0] in MAIN or (parent >= 0 and main[parent])
-        kept = [t for t, at, out in self.blocks if not out and inside[at] and not (constant and not main[at] and zlib.crc32(t.encode("utf-8", "replace")) in constant)]
-        return "\n".join(kept)
-
-
-def choose(sums: dict[str, list[int]], pages: int) -> str:
-    """The main region by sums over pages: signature to (pages, characters, depth)."""
-    for sig in MAIN:
-        if (x := sums.get(sig)) and 2 * x[0] >= pages:
-            return sig
-    named = [s for s in sums if re.split(r"[.#]", s)[0] in MAIN and 2 * sums[s][0] >= pages]
-    if named:
-        return max(named, key=lambda s: (sums[s][1], s))
-    total = max((x[1] for x in sums.values()), default=0)
-    large = [s for s, x in sums.items() if x[1] >= 0.6 * total]
-    return max(large, key=lambda s: (sums[s][2], sums[s][1], s)) if large else ""
-
-
-# A wrapper is a list of nodes: a tag, ["#", hash of a constant text or None for a slot], ["+", nodes] or ["?", nodes].
-
-
-def grouped(stream: list) -> list:
-    """A page's stream with equal neighbouring stretches as repeated groups; stretches are equal if their tags are."""
-    keys = ["#" if isinstance(x, int) else x for x in stream]
-    out, i = [], 0
-    while i < len(keys):
-        for size in range(1, LONGEST_GROUP + 1):
-            n = 1
-            while keys[i : i + size] == keys[i + n * size : i + (n + 1) * size] and i + (n + 1) * size <= len(keys):
-                n += 1
-            if n > 1:
-                body = [[x, None] if x == "#" else x for x in keys[i : i + size]]
-                out.append(["+", body])
-                i += n * size
+from lectern.llm.common import as_bytes, shuffle_parts, slices, stored
+from lectern.llm.markup import MAIN, Page
+
+SALTS, SHARE = 64, 0.6
+#: Members of a content before it becomes a group of kinds, levels of a wrapper, and the longest stretch that is looked for as a repeated group.
+WIDE, DEEP, LONGEST_GROUP = 64, 60, 8
+#: Structures that a task sums before it hands them on, and the size of all places up to which they are broadcast.
+FOLDED, BROADCAST_BYTES = 5_000, 32 << 20
+#: Elements that may be the region of the main text.
+CONTAINERS = frozenset("div section article main center table tbody tr td x-".split())
+ARTICLE, MAIN_ELEMENT, CONTAINER = 1, 2, 3
+
+
+class Text:
+    """A slot, or a constant text by its hash; chars: the length of all texts that it stands for."""
+
+    __slots__ = ("const", "chars")
+
+    def __init__(self, const: int | None, chars: int):
+        self.const, self.chars = const, chars
+
+
+class Element:
+    """An element with its content; ids: its places in a page, as pairs of pairs; place: why it holds main text."""
+
+    __slots__ = ("label", "items", "ids", "place")
+
+    def __init__(self, label: str, items: list, ids: int | tuple | None = None, place: int = 0):
+        self.label, self.items, self.ids, self.place = label, items, ids, place
+
+    def places(self) -> list[int]:
+        out, todo = [], [self.ids]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                todo += x
+            elif x is not None:
+                out.append(x)
+        return out
+
+
+class Group:
+    """A repeated (+) or optional (?) stretch."""
+
+    __slots__ = ("mark", "items")
+
+    def __init__(self, mark: str, items: list):
+        self.mark, self.items = mark, items
+
+
+def key(x) -> str:
+    """What must agree for two members of a content to be aligned."""
+    return "#" if isinstance(x, Text) else x.label if isinstance(x, Element) else f"{x.mark}({' '.join(map(key, x.items))})"
+
+
+def tag(x) -> str:
+    return x.label.split(".")[0].split("#")[0]
+
+
+def opened(items: list) -> list[tuple]:
+    """Members with optional groups opened, and whether each is optional."""
+    return [p for x in items for p in ([(y, True) for y, _ in opened(x.items)] if isinstance(x, Group) and x.mark == "?" else [(x, False)])]
+
+
+def kinds(x: Element) -> frozenset[str]:
+    return frozenset(k for y, _ in opened(x.items) for k in ([key(z) for z, _ in opened(y.items)] if isinstance(y, Group) else [key(y)]))
+
+
+def likeness(x, y) -> float:
+    """How much two members of one key have in common: 0 to 1, by the kinds of their contents."""
+    if not isinstance(x, Element) or (len(x.items) == len(y.items) == 1 and isinstance(x.items[0], Text) and isinstance(y.items[0], Text)):
+        return 1.0
+    a, b = kinds(x), kinds(y)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def paired(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of members that are aligned, in order: as many as possible, and of those the most alike."""
+    ka, kb = list(map(key, a)), list(map(key, b))
+    if ka == kb:
+        return [(i, i) for i in range(len(a))]
+    if len(set(ka)) == len(ka) and len(set(kb)) == len(kb):  # nothing to choose but the order
+        score = lambda i, j: 1.0 if ka[i] == kb[j] else 0.0
+    else:
+        score = lambda i, j: 1.0 + 0.5 * likeness(a[i], b[j]) if ka[i] == kb[j] else 0.0
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    own = [[score(i, j) for j in range(len(b))] for i in range(len(a))]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + own[i][j] if own[i][j] else 0.0)
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if own[i][j] and best[i][j] == best[i + 1][j + 1] + own[i][j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def _grouped(items: list[tuple], bodies: list[list[str]]) -> list[tuple]:
+    """Opened members in which each stretch that is one of the bodies is a repeated group, too."""
+    keys, out, i = [key(x) for x, _ in items], [], 0
+    while i < len(items):
+        for body in bodies:
+            if keys[i : i + len(body)] == body and len({o for _, o in items[i : i + len(body)]}) == 1:
+                out.append((Group("+", [x for x, _ in items[i : i + len(body)]]), items[i][1]))
+                i += len(body)
                 break
         else:
-            out.append(["#", stream[i]] if keys[i] == "#" else keys[i])
+            out.append(items[i])
             i += 1
     return out
 
 
-def key(node) -> str:
-    """What must agree for two nodes to be aligned: a group that occurs once is its own first repetition."""
-    return node if isinstance(node, str) else "#" if node[0] == "#" else node[0] + " ".join(map(key, node[1]))
+def _level(a: list, b: list) -> tuple[list[tuple], list[tuple]]:
+    """Both contents opened, with the repeated groups of either as groups in both."""
+    bodies = lambda items: sorted(([key(y) for y in x.items] for x, _ in items if isinstance(x, Group)), key=len, reverse=True)
+    a, b = opened(a), opened(b)
+    return _grouped(a, bodies(b)), _grouped(b, bodies(a))
+
+
+def mixed(items: list) -> bool:
+    """Whether a content is one repeated group of kinds."""
+    return len(items) == 1 and isinstance(items[0], Group) and items[0].mark == "+" and all(isinstance(x, Group) for x in items[0].items)
+
+
+def members(items: list) -> list:
+    """All texts and elements of a content, groups opened."""
+    return [y for x in items for y in (members(x.items) if isinstance(x, Group) else [x])]
+
 
+def mix(*contents: list) -> list:
+    """One repeated group of all kinds that the contents have; with more than WIDE kinds, names count without classes."""
+    found: dict[str, object] = {}
+    for x in (y for items in contents for y in members(items)):
+        found[key(x)] = merged(found[key(x)], x) if key(x) in found else x
+    if len(found) > WIDE:
+        plain: dict[str, object] = {}
+        for _, x in sorted(found.items()):
+            if isinstance(x, Element):
+                x = Element(tag(x), x.items, x.ids)
+            plain[key(x)] = merged(plain[key(x)], x) if key(x) in plain else x
+        found = plain
+    return [Group("+", [Group("?", [found[k]]) for k in sorted(found)])]
 
-def _unpacked(nodes: list, other: set[str]) -> list:
-    """nodes in which each stretch that the other side has as a repeated group is one, too."""
-    groups = sorted((k[1:].split(" ") for k in other if k[0] == "+"), key=len, reverse=True)
-    keys, out, i = [key(n) for n in nodes], [], 0
-    while i < len(nodes):
-        for g in groups:
-            if keys[i : i + len(g)] == g:
-                out.append(["+", nodes[i : i + len(g)]])
-                i += len(g)
+
+def merged(x, y):
+    """Two members of one key as one that stands for both."""
+    if isinstance(x, Text):
+        return Text(x.const if x.const == y.const else None, x.chars + y.chars)
+    if isinstance(x, Element):
+        return Element(x.label, align(x.items, y.items), (x.ids, y.ids) if x.ids is not None and y.ids is not None else None)
+    return Group(x.mark, [merged(p, q) for p, q in zip(x.items, y.items)])
+
+
+def align(a: list, b: list) -> list:
+    """The content of everything that a and b stand for."""
+    if len(a) == len(b) and all(key(x) == key(y) for x, y in zip(a, b)):
+        return [merged(x, y) for x, y in zip(a, b)]
+    if mixed(a) or mixed(b):
+        return mix(a, b)
+    a, b = _level(a, b)
+    out: list = []
+    i = j = 0
+    for p, q in [*paired([x for x, _ in a], [x for x, _ in b]), (len(a), len(b))]:
+        for x in [*a[i:p], *b[j:q]]:
+            out.append(Group("?", [x[0]]))  # each by itself: parts of a stretch may be missing
+        i, j = p + 1, q + 1
+        if p < len(a):
+            both = merged(a[p][0], b[q][0])
+            out.append(Group("?", [both]) if a[p][1] or b[q][1] else both)
+    return mix(out) if len(out) > WIDE else out
+
+
+def folded(items: list) -> list:
+    """A content with neighbouring stretches of one kind as repeated groups."""
+    keys, out, i, n = list(map(key, items)), [], 0, len(items)
+    like = lambda p, q: keys[p] == keys[q] and likeness(items[p], items[q]) >= 0.5
+    while i < n:
+        for size in range(1, min(LONGEST_GROUP, (n - i) // 2) + 1):
+            stop = i + size
+            while stop + size <= n and all(like(i + k, stop + k) for k in range(size)):
+                stop += size
+            if stop > i + size:
+                body = items[i : i + size]
+                for at in range(i + size, stop, size):
+                    body = [merged(x, y) for x, y in zip(body, items[at : at + size])]
+                out.append(Group("+", body))
+                i = stop
                 break
         else:
-            out.append(nodes[i])
+            out.append(items[i])
             i += 1
-    return out
+    return mix(out) if len(out) > WIDE else out
+
+
+def structure(page: Page) -> Element:
+    """The wrapper of a page alone, with places in the page."""
+    n = len(page.label)
+    depth, made, chars = [0] * n, [None] * n, [0] * n
+    for i in range(1, n):
+        depth[i] = depth[page.parent[i]] + 1
+    for text, at in page.blocks:
+        chars[at] += len(text)
+    for i in range(n - 1, -1, -1):
+        if page.gone[i]:
+            chars[i] = 0
+            continue
+        if depth[i] > DEEP:
+            chars[page.parent[i]] += chars[i]
+            continue
+        items = []
+        for k in page.kids[i] if depth[i] < DEEP else ():
+            if k < 0:
+                text = page.blocks[-1 - k][0]
+                items.append(Text(int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "replace")), "big", signed=True), len(text)))
+            elif not page.gone[k]:
+                items.append(made[k])
+                chars[i] += chars[k]
+                made[k] = None
+        if depth[i] >= DEEP:
+            items = [Text(None, chars[i])] if chars[i] else []
+        made[i] = Element(page.label[i], folded(items), i)
+    return made[0] if made[0] is not None else Element("", [])
+
+
+def placed(root: Element) -> Element:
+    """The wrapper with the places of the main text marked: its topmost articles, else its topmost <main>, and the container by text."""
+    found = {name: [] for name in MAIN}
+
+    def seek(x: Element, name: str):
+        for y in members(x.items):
+            if isinstance(y, Element):
+                found[name].append(y) if tag(y) == name else seek(y, name)
+
+    for name in MAIN:
+        seek(root, name)
+
+    sums: dict[int, tuple[int, int]] = {}
+
+    def total(x, repeated: bool) -> tuple[int, int]:
+        """Characters in slots and groups, and all."""
+        if isinstance(x, Text):
+            return (x.chars if x.const is None or repeated else 0), x.chars
+        own = [total(y, repeated or (isinstance(x, Group) and x.mark == "+")) for y in x.items]
+        sums[id(x)] = out = sum(o[0] for o in own), sum(o[1] for o in own)
+        return out
+
+    which = 0 if total(root, False)[0] else 1
+    least, at = SHARE * sums[id(root)][which], root
+    while True:
+        inner = [x for x, _ in opened(at.items) if isinstance(x, Element) and tag(x) in CONTAINERS and sums[id(x)][which] >= least and any(isinstance(y, Element) for y in members(x.items))]
+        if not inner or not least:
+            break
+        at = max(inner, key=lambda x: sums[id(x)][which])
+    at.place = CONTAINER
+    for kind, name in ((MAIN_ELEMENT, "main"), (ARTICLE, "article")):
+        for x in found[name]:
+            x.place = kind
+    return root
+
+
+def pruned(x: Element) -> Element | None:
+    """What is needed to find the marked places: the way to them, and their neighbours with the kinds of their contents."""
+
+    def marked(y) -> bool:
+        return not isinstance(y, Text) and ((isinstance(y, Element) and y.place > 0) or any(map(marked, y.items)))
+
+    def bare(y):
+        if isinstance(y, Text):
+            return Text(None, 0)
+        if isinstance(y, Group):
+            return Group(y.mark, list(map(bare, y.items)))
+        return Element(y.label, [Element(k, []) for k in sorted(kinds(y))])
+
+    def cut(y):
+        if isinstance(y, Text) or not marked(y):
+            return bare(y)
+        return Group(y.mark, list(map(cut, y.items))) if isinstance(y, Group) else Element(y.label, list(map(cut, y.items)) if any(map(marked, y.items)) else bare(y).items, place=y.place)
+
+    return cut(x)
+
+
+def located(wrapper: Element, page: Element, found: dict[int, list[int]]) -> dict[int, list[int]]:
+    """Places in the page that match the wrapper's marked ones, by mark."""
+    if wrapper.place:
+        found.setdefault(wrapper.place, []).extend(page.places())
+    if mixed(wrapper.items) or mixed(page.items):
+        of = {key(x): x for x in members(wrapper.items)}
+        both = [(of.get(key(y)) or of.get(tag(y)), y) for y in members(page.items) if isinstance(y, Element)]
+        both = [(x, y) for x, y in both if x is not None]
+    else:
+        a, b = _level(wrapper.items, page.items)
+        a, b = [x for x, _ in a], [x for x, _ in b]
+        both = [(a[i], b[j]) for i, j in paired(a, b)]
+    while both:
+        x, y = both.pop()
+        if isinstance(x, Group):
+            both += list(zip(x.items, y.items))
+        elif isinstance(x, Element) and isinstance(y, Element):
+            located(x, y, found)
+    return found
+
+
+def main_text(page: Page, own: Element, wrapper: Element | None) -> str:
+    """The page's main text by its host's wrapper; where nothing with text matches, by its own."""
+    for w in (wrapper, None):
+        found = located(w or placed(own), own, {})
+        for _, ids in sorted(found.items()):
+            if text := page.text(set(ids)):
+                return text
+    return ""
 
 
-def merged(a, b):
-    """Two aligned nodes as one."""
-    if isinstance(a, str):
-        return a
-    if a[0] == "#":
-        return a if a[1] == b[1] else ["#", None]
-    return [a[0], [merged(x, y) for x, y in zip(a[1], b[1])]]
+# Transport: a shape is an element as [label, members], a text as 0 and a group as ["+" or "?", members]; texts travel beside it, in order.
 
 
-def _without(nodes: list) -> list:
-    """nodes with optional groups opened, as they align with pages that have them."""
-    return [x for n in nodes for x in (n[1] if n[0] == "?" else [n])]
+def shape(x) -> list | int:
+    return 0 if isinstance(x, Text) else [x.label if isinstance(x, Element) else x.mark, list(map(shape, x.items))]
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of everything that a and b stand for."""
-    flat_b = _without(b)
-    a = _unpacked(a, {key(n) for n in flat_b})
-    flat_a, optional = _without(a), [n[0] == "?" for n in a for _ in (n[1] if n[0] == "?" else [n])]
-    flat_b = _unpacked(flat_b, {key(n) for n in flat_a})
-    out: list = []
+def texts(x) -> list[Text]:
+    return [x] if isinstance(x, Text) else [t for y in x.items for t in texts(y)]
 
-    def loose(nodes):
-        if nodes:
-            if out and out[-1][0] == "?" and not isinstance(out[-1], str):
-                out[-1][1].extend(nodes)
-            else:
-                out.append(["?", list(nodes)])
-
-    match = difflib.SequenceMatcher(None, [key(n) for n in flat_a], [key(n) for n in flat_b], autojunk=False)
-    for what, i, i2, j, j2 in match.get_opcodes():
-        if what == "equal":
-            for k in range(i2 - i):
-                node = merged(flat_a[i + k], flat_b[j + k])
-                if optional[i + k]:
-                    loose([node])
-                else:
-                    out.append(node)
-        else:
-            loose(flat_a[i:i2])
-            loose(flat_b[j:j2])
-    return out
 
+def built(form, own: Iterator[tuple]):
+    """The wrapper of a shape; own: const and chars of its texts."""
+    if form == 0:
+        return Text(*next(own))
+    items = [built(x, own) for x in form[1]]
+    return Group(form[0], items) if form[0] in ("+", "?") else Element(form[0], items)
 
-def shown(nodes: list) -> str:
+
+def packed(x: Element) -> str:
+    """A wrapper with its marks, without texts."""
+
+    def go(y):
+        return 0 if isinstance(y, Text) else [y.label, list(map(go, y.items)), y.place] if isinstance(y, Element) else [y.mark, list(map(go, y.items))]
+
+    return json.dumps(go(x), separators=(",", ":"))
+
+
+def unpacked(raw: str) -> Element:
+    def go(y):
+        return Text(None, 0) if y == 0 else Element(y[0], list(map(go, y[1])), place=y[2]) if len(y) > 2 else Group(y[0], list(map(go, y[1])))
+
+    return go(json.loads(raw))
+
+
+def shown(x) -> str:
     """A wrapper as an expression: # is a slot, =hash a constant text."""
-    return " ".join(n if isinstance(n, str) else ("#" if n[1] is None else f"={n[1]:08x}") if n[0] == "#" else f"( {shown(n[1])} ){n[0]}" for n in nodes)
-
-
-class Fold:
-    """What pages of a host have shown: structures with their texts, and sums by container."""
-
-    def __init__(self):
-        self.pages, self.forms, self.sums, self.seen, self.marks = 0, {}, {}, set(), []
-
-    def add(self, source: str) -> None:
-        mark = xxhash.xxh64_intdigest(source.encode("utf-8", "replace"))
-        if mark in self.seen:
-            return
-        if len(self.seen) < 10_000:
-            self.seen.add(mark)
-        self._mark([mark])
-        page = Page(source)
-        nodes = grouped(page.stream)
-        self._form(json.dumps([n if isinstance(n, str) or n[0] == "+" else ["#", 0] for n in nodes]), 1, [n[1] for n in nodes if not isinstance(n, str) and n[0] == "#"])
-        self.pages += 1
-        for sig, (n, d) in page.sums().items():
-            self._sum(sig, 1, n, d)
-
-    def _mark(self, marks: list[int]) -> None:
-        """The smallest digests of different pages, as many as count as evidence of a template."""
-        self.marks = sorted({*self.marks, *marks})[:CONSTANT_PAGES]
-
-    def _form(self, shape: str, count: int, texts: list) -> None:
-        if old := self.forms.get(shape):
-            old[0] += count
-            old[1] = [x if x == y else None for x, y in zip(old[1], texts)]
-        else:
-            self.forms[shape] = [count, texts]
-
-    def _sum(self, sig: str, pages: int, n: int, depth: int) -> None:
-        x = self.sums.setdefault(sig, [0, 0, 0])
-        x[0], x[1], x[2] = x[0] + pages, x[1] + n, max(x[2], depth)
-
-    def packed(self) -> bytes:
-        return zlib.compress(json.dumps([self.pages, self.forms, self.sums, self.marks]).encode(), 1)
-
-    def merge(self, raw: bytes) -> None:
-        pages, forms, sums, marks = json.loads(zlib.decompress(raw))
-        self.pages += pages
-        self._mark(marks)
-        for shape, (count, texts) in forms.items():
-            self._form(shape, count, texts)
-        for sig, x in sums.items():
-            self._sum(sig, *x)
-
-    def wrapper(self) -> list:
-        """The structures aligned, the most frequent first."""
-        out = None
-        for shape, (_, texts) in sorted(self.forms.items(), key=lambda x: (-x[1][0], x[0])):
-            texts = iter(texts)
-            nodes = [["#", next(texts)] if not isinstance(n, str) and n[0] == "#" else n for n in json.loads(shape)]
-            out = nodes if out is None else align(out, nodes)
-        return out or []
-
-
-def _host(url: str | None) -> str:
+    if isinstance(x, Text):
+        return "#" if x.const is None else f"={x.const & (1 << 64) - 1:016x}"
+    inner = " ".join(map(shown, x.items))
+    if isinstance(x, Group):
+        return f"( {inner} ){x.mark}"
+    return f"<{x.label}> {inner} </{tag(x)}>" if x.label else inner
+
+
+def host_of(url: str | None) -> str:
     found = re.match(r"[^:/?#]*://([^/?#]*)", url or "")
-    return found[1].lower() if found else ""
+    return found[1].translate(_LOWER) if found else ""
 
 
-def infer(pages: DataFrame, url: str = "url", content: str = "html") -> DataFrame:
-    """One row per host: host, pages (different ones, by task), region, constants (hashes of the template's texts), wrapper."""
-    kind = "host string, salt int, fold binary"
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+HOST_SQL = r"translate(regexp_extract(coalesce(url, ''), '^[^:/?#]*://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        salt, folds = TaskContext.get().partitionId() % SALTS, {}
+def sums(pages: DataFrame, url: str, content: str) -> DataFrame:
+    """Per host and structure, by task: host, shape, n (pages), consts and chars of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list] = {}
 
         def out():
-            cols = [pa.array(list(folds), pa.string()), pa.array([salt] * len(folds), pa.int32()), pa.array([f.packed() for f in folds.values()], pa.binary())]
-            folds.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["host", "salt", "fold"])
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            kinds_ = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds_)], names=["host", "shape", "n", "consts", "chars"])
 
         for whole in batches:
             for batch in slices(whole, 1):
                 for u, source in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                    folds.setdefault(_host(u), Fold()).add(source.decode("utf-8", "replace"))
-                if len(folds) > FOLDED:
+                    root = structure(Page(source.decode("utf-8", "replace")))
+                    own = texts(root)
+                    add(held, (host_of(u), json.dumps(shape(root), separators=(",", ":"))), 1, [t.const for t in own], [t.chars for t in own])
+                if len(held) > FOLDED:
+                    yield out()
+        if held:
+            yield out()
+
+    return pages.select(url, content).mapInArrow(run, "host string, shape string, n long, consts array<long>, chars array<long>")
+
+
+def add(held: dict, at, n: int, consts: list, chars: list) -> None:
+    if old := held.get(at):
+        held[at] = [old[0] + n, [x if x == y else None for x, y in zip(old[1], consts)], [x + y for x, y in zip(old[2], chars)]]
+    else:
+        held[at] = [n, consts, chars]
+
+
+def _folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Structures of equal keys (in order) aligned: keys, shape, n, consts, chars of their wrapper. A task holds one wrapper and one structure at a time."""
+    rows = rows.repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "shape").select(*keys, "shape", "n", "consts", "chars")
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", shape string, n long, consts array<long>, chars array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, form, same, root = None, 0, None, {}, None
+
+        def take():
+            """The structure whose rows have all been summed joins the wrapper."""
+            nonlocal root, n
+            count, consts, chars = same.pop(form)
+            x = built(json.loads(form), zip(consts, chars))
+            root, n = (x if root is None else merged(root, x)), n + count
+
+        def out():
+            own = texts(root)
+            cols = [pa.array([v], t) for v, t in zip(at, kinds_)]
+            cols += [pa.array([json.dumps(shape(root), separators=(",", ":"))]), pa.array([n], pa.int64()), pa.array([[t.const for t in own]], pa.list_(pa.int64())), pa.array([[t.chars for t in own]], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=[*keys, "shape", "n", "consts", "chars"])
+
+        for batch in batches:
+            kinds_ = [batch.column(k).type for k in keys]
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for i, f in enumerate(batch.column("shape")):
+                here, f = tuple(c[i] for c in columns), f.as_py()
+                if same and (here != at or f != form):
+                    take()
+                if here != at and at is not None:
                     yield out()
-        if folds:
+                    root, n = None, 0
+                at, form = here, f
+                add(same, f, *(batch.column(c)[i].as_py() for c in ("n", "consts", "chars")))
+        if same:
+            take()
+        if root is not None:
             yield out()
 
-    def second(table: pa.Table) -> pa.Table:
-        fold = Fold()
-        for raw in table.column("fold").to_pylist():
-            fold.merge(raw)
-        return pa.table({"host": [table.column("host")[0].as_py()], "salt": pa.array([0], pa.int32()), "fold": pa.array([fold.packed()], pa.binary())})
+    return rows.mapInArrow(run, schema)
+
+
+def infer(pages: DataFrame, url: str = "url", content: str = "html") -> DataFrame:
+    """One row per host: host, pages, wrapper (as an expression), places (the wrapper as far as extraction needs it)."""
+    found = stored(sums(pages, url, content)).withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
+    lists = stored(_folded(found, ["host", "salt"]))
 
-    def third(table: pa.Table) -> pa.Table:
-        fold = Fold()
-        for raw in table.column("fold").to_pylist():
-            fold.merge(raw)
-        nodes = fold.wrapper()
-        constant = sorted({n[1] for n in nodes if not isinstance(n, str) and n[0] == "#" and n[1] is not None}) if len(fold.marks) >= CONSTANT_PAGES else []
-        return pa.table({"host": [table.column("host")[0].as_py()], "pages": [fold.pages], "region": [choose(fold.sums, fold.pages)], "constants": pa.array([constant], pa.list_(pa.int64())), "wrapper": [shown(nodes)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for form, consts, chars in zip(*(batch.column(c).to_pylist() for c in ("shape", "consts", "chars"))):
+                root = placed(built(json.loads(form), zip(consts, chars)))
+                rows.append((shown(root), packed(pruned(root))))
+            cols = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), *cols], names=["host", "pages", "wrapper", "places"])
 
-    folds = stored(pages.select(url, content).mapInArrow(first, kind))
-    folds = folds.groupBy("host", "salt").applyInArrow(second, kind)
-    return folds.groupBy("host").applyInArrow(third, "host string, pages long, region string, constants array<long>, wrapper string")
+    return _folded(lists.drop("salt"), ["host"]).mapInArrow(run, "host string, pages long, wrapper string, places string")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
     """Per row of pages: its id, url, text (empty if none) and n_chars."""
-    hosts = stored(infer(pages, url, content)).select("host", "region", "constants")
+    hosts = stored(infer(pages, url, content)).select("host", "places")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(content).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def texts(batch, regions):
-        found = [Page(x.decode("utf-8", "replace")).text(*r) for x, r in zip(as_bytes(batch.column(2)), regions)]
+    def done(batch, wrappers):
+        found = []
+        for source, wrapper in zip(as_bytes(batch.column(2)), wrappers):
+            page = Page(source.decode("utf-8", "replace"))
+            found.append(main_text(page, structure(page), wrapper))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if hosts.count() <= HOST_ROWS:
-        known = {r.host: (r.region, frozenset(r.constants)) for r in hosts.collect()}
-        shared = rows.sparkSession.sparkContext.broadcast(known)
+    size = hosts.agg(F.sum(F.octet_length("places") + F.octet_length("host") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast({r.host: r.places for r in hosts.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, Element] = {}
             for whole in batches:
                 for batch in slices(whole, 2):
-                    yield texts(batch, [shared.value.get(_host(u), (None, frozenset())) for u in batch.column(1).to_pylist()])
+                    own = [host_of(u) for u in batch.column(1).to_pylist()]
+                    for h in own:
+                        if h not in known:
+                            known[h] = unpacked(shared.value[h])
+                    yield done(batch, [known[h] for h in own])
 
         return rows.mapInArrow(run, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2):
-                yield texts(batch, [(r, frozenset(c or ())) for r, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())])
+                yield done(batch, [unpacked(p) if p else None for p in batch.column(3).to_pylist()])
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
-    return rows.withColumn("host", host).join(hosts, "host", "left").select("page_id", "url", "html", "region", "constants").mapInArrow(joined, schema)
+    return rows.withColumn("host", F.expr(HOST_SQL)).join(hosts, "host", "left").select("page_id", "url", "html", "places").mapInArrow(joined, schema)
