@@ -13,7 +13,7 @@ ANY_PAGE_MARKER = r"<pb:[^>]*>"
 LINE_MARK = "¶"
 GLYPH_CODE = r"&KR[0-9]+;"
 SOURCE_LINE = r"^# src: *(.*)$"
-EDGE_SPACE = r"^[\s　]+|[\s　]+$"
+EDGE = " \t\n\x0b\f\r　"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed numerals and units of Chinese numbers.
 DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -27,7 +27,8 @@ def col(x: Column | str) -> Column:
 def normalize(text: Column | str) -> Column:
     """Without page markers, line marks and outer white space (the ideographic space too); null if nothing is left."""
     bare = F.regexp_replace(col(text), f"{ANY_PAGE_MARKER}|{LINE_MARK}", "")
-    return F.nullif(F.regexp_replace(bare, EDGE_SPACE, ""), F.lit(""))
+    bare = F.when(col(text).contains("<pb:") | col(text).contains(LINE_MARK), bare).otherwise(col(text))
+    return F.nullif(F.btrim(bare, F.lit(EDGE)), F.lit(""))
 
 
 def fold(text: Column | str) -> Column:
@@ -45,8 +46,8 @@ def has_case(term: str) -> bool:
 
 
 def contains(text: Column | str, term: str) -> Column:
-    """Substring test that ignores the case of ASCII letters; wildcards have no meaning. Terms without such letters need no folding."""
-    return col(text).rlike("(?i)" + literal(term)) if has_case(term) else col(text).contains(term)
+    """Substring test that ignores case; wildcards have no meaning. Terms without ASCII letters need no folding."""
+    return F.lower(col(text)).contains(term.lower()) if has_case(term) else col(text).contains(term)
 
 
 def contains_any(text: Column | str, terms: list[str]) -> Column:
@@ -60,9 +61,8 @@ def contains_all(text: Column | str, groups: list[list[str]]) -> Column:
 
 def occurrences(text: Column | str, term: str) -> Column:
     """How often a term occurs, without overlaps."""
-    if has_case(term):
-        return F.regexp_count(col(text), F.lit("(?i)" + literal(term)))
-    return ((F.length(col(text)) - F.length(F.replace(col(text), F.lit(term), F.lit("")))) / len(term)).cast("int")
+    x, term = (F.lower(col(text)), term.lower()) if has_case(term) else (col(text), term)
+    return ((F.length(x) - F.length(F.replace(x, F.lit(term), F.lit("")))) / len(term)).cast("int")
 
 
 def bare_mention(text: Column | str, name: str, before: str) -> Column:

@@ -14,20 +14,21 @@ def leaks(rows: DataFrame, key: str, text: str, patterns: dict[str, str]) -> Dat
     return rows.select(key, found.alias("leaks")).where(F.size("leaks") > 0)
 
 
-#: Quotations that are looked for at a time.
-QUOTES = 2_000
-
-
 def quoted(items: DataFrame, texts: DataFrame, item_id: str, text_id: str, column: str = "text") -> DataFrame:
-    """Pairs of an item and a text that contains it verbatim. Items are a stated set, taken in blocks of QUOTES against one scan of the texts each."""
-    block = items.select(F.col(item_id), F.col(column).alias("_quote"))
-    n = block.count()
-    parts = max(1, -(-n // QUOTES))
-    out = []
-    for i in range(parts):
-        some = block.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == i)
-        out.append(texts.select(text_id, F.col(column).alias("_text")).join(F.broadcast(some), F.col("_text").contains(F.col("_quote"))).select(item_id, text_id))
-    return reduce(DataFrame.union, out)
+    """Pairs of an item and a text that contains it verbatim, in one pass over the texts.
+
+    A word that stands between two others in an item is a word of every text that contains it, so the longest such word is the key of a hash join; the
+    candidates are then compared. Items of fewer than three words have no such key: those, a stated set, are compared with every text.
+    """
+    words = F.split(F.col("_quote"), r"\s+")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = items.select(F.col(item_id), F.col(column).alias("_quote")).where("_quote is not null").withColumn("_word", longest)
+    rows = texts.select(text_id, F.col(column).alias("_text"))
+    own = rows.select("*", F.explode(F.array_distinct(F.split("_text", r"\s+"))).alias("_word"))
+    found = own.join(keyed.where("_word is not null"), "_word").where(F.col("_text").contains(F.col("_quote"))).select(item_id, text_id)
+    short = rows.join(F.broadcast(keyed.where("_word is null")), F.col("_text").contains(F.col("_quote"))).select(item_id, text_id)
+    return found.union(short)
 
 
 def first_rule(rows: DataFrame, rules: list[tuple], keys: list[str], default: str, into: str = "layer") -> DataFrame:

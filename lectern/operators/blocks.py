@@ -7,6 +7,8 @@ reached, a side closing at a boundary or where the block would become too large.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -24,6 +26,7 @@ class Limits:
 
 #: Fixed sizes of the three block lengths.
 LIMITS = {"short": Limits(120, 12, 260), "standard": Limits(420, 40, 900), "long": Limits(1200, 120, 2600)}
+_MARKS, _EDGE = re.compile(r"<pb:[^>]*>|¶"), " \t\n\x0b\f\r　"
 BLOCK = "block_id string, row_first int, row_last int, match_count int, score double, first_hit int, n_chars int, text string"
 
 
@@ -101,6 +104,55 @@ def assemble(rows: DataFrame, hits: DataFrame, length: str = "standard", file: s
     return both.select(file, "row_no", "kind", "layer", "boundary", "text_orig", "_score").groupBy(file).applyInPandas(one, f"{file} {kind}, {BLOCK}")
 
 
+#: Section blocks that are listed after the text blocks, as a fixed bound.
+SECTION_BLOCKS = 50
+
+
+def over_files(files: DataFrame, term: str, length: str = "standard", file: str = "file_id", text: str = "text", opens: str | None = None, score: Callable[[str], float] = lambda line: 0.0) -> DataFrame:
+    """Blocks around the lines of each file that contain the term, and, where `opens` is given, around the sections whose heading does: a line with `opens` is a
+    heading and begins a section; its block starts from the first passage of the section. Blocks never cross sections.
+
+    A file is a row, so it is split, searched and cut where it lies; nothing is shuffled. Adds match_type (text, section or both) to what assemble() gives.
+    """
+    limits = LIMITS[length]
+    kind = files.schema[file].dataType.simpleString()
+    names = [file, *(c.split()[0] for c in BLOCK.split(", ")), "match_type"]
+
+    def one(key, lines: list[str]) -> list[tuple]:
+        section, sections = 0, []
+        for i, line in enumerate(lines):
+            section = i + 1 if opens and opens in line else section
+            sections.append(str(section))
+        bare = [_MARKS.sub("", x).strip(_EDGE) for x in lines]
+        f = File(pd.DataFrame({"row_no": range(1, len(lines) + 1), "text_orig": lines, "kind": ["passage" if b else "page" for b in bare], "layer": "main", "boundary": sections}), limits)
+        hits = {i: [score(x), "text"] for i, x in enumerate(lines) if term in x and bare[i]}
+        if opens:
+            for i, x in enumerate(lines):
+                if opens in x and term in x:
+                    at = next((j for j in range(i, len(lines)) if sections[j] == sections[i] and bare[j]), None)
+                    if at is not None:
+                        hits[at] = [min(hits[at][0], score(x)), "both"] if at in hits else [score(x), "section"]
+        out, at = [], sorted(hits)
+        for lo, hi, n, s, first in f.blocks([(i, hits[i][0]) for i in at]):
+            found = {hits[i][1] for i in at if lo <= i <= hi}
+            both = "both" if "both" in found or len(found) > 1 else next(iter(found))
+            out.append((key, f"{key}:{f.row[lo]}", f.row[lo], f.row[hi], n, s, f.row[first], f.size(lo, hi), "\n".join(f.text[lo : hi + 1]), both))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([b for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for b in one(k, t.split("\n"))], columns=names)
+
+    return files.where(F.col(text).contains(term)).select(file, text).mapInPandas(run, f"{file} {kind}, {BLOCK}, match_type string")
+
+
+def listed(blocks: DataFrame, file: str = "file_id") -> DataFrame:
+    """Text blocks by matches, score and source order; then the first SECTION_BLOCKS section blocks in source order. place counts within either."""
+    text = blocks.where("match_type <> 'section'").withColumn("part", F.lit(0))
+    section = blocks.where("match_type = 'section'").orderBy(file, "row_first").limit(SECTION_BLOCKS).withColumn("part", F.lit(1))
+    return text.unionByName(section).orderBy("part", F.when(F.col("part") == 0, -F.col("match_count")).otherwise(0), F.when(F.col("part") == 0, F.col("score")).otherwise(0.0), file, "row_first")
+
+
 def ranked(blocks: DataFrame, file: str = "file_id") -> DataFrame:
     """Most matches first, then best score, then source order."""
     return blocks.orderBy(F.desc("match_count"), "score", file, "row_first")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed constant of reciprocal rank fusion, and the part of the shorter span from which two results count as the same.
 FUSION, OVERLAP = 60, 0.8
+#: Fixed bounds of a result list and of the candidates that are compared with each other.
+MOST, CANDIDATES = 100, 600
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -19,7 +21,8 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """The k vectors with the largest inner product among those that pass the filter; ties by key. key, score."""
-    k = max(1, min(k, 100))
+    if not 1 <= k <= MOST:
+        raise ValueError(f"k must lie between 1 and {MOST}, not {k}")
     rows = vectors if where is None else vectors.where(where)
     scored = rows.select(key, inner_product(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(k)
@@ -38,7 +41,7 @@ def fuse(lists: dict[str, DataFrame], key: str, limit: int) -> DataFrame:
 
 
 def without_overlaps(rows: DataFrame, order: str, source: str, start: str, end: str, limit: int = 20) -> DataFrame:
-    """Results in order, leaving out each that shares OVERLAP of the shorter span with one before it. For bounded lists."""
+    """Results in order, leaving out each that shares OVERLAP of the shorter span with one before it. The first CANDIDATES by order are looked at."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
@@ -52,4 +55,4 @@ def without_overlaps(rows: DataFrame, order: str, source: str, start: str, end:
         return pdf.iloc[kept]
 
     names = rows.columns
-    return rows.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: keep(pdf)[names], rows.schema)
+    return rows.orderBy(order).limit(CANDIDATES).groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: keep(pdf)[names], rows.schema)

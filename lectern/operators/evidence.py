@@ -141,12 +141,12 @@ def audited(candidates: DataFrame, plan: Plan, key: str, text: str) -> DataFrame
     return candidates.select(key, text).mapInPandas(run, f"key {kind}, {AUDIT}").withColumnRenamed("key", key)
 
 
-def subject_pool(rows: DataFrame, plan: Plan, key: str, text: str, budget: int = 4000) -> DataFrame:
-    """Candidates that name the subject, the first `budget` by key, with a flag if there were more."""
+def subject_pool(rows: DataFrame, plan: Plan, key: str, text: str, budget: int | None = None) -> DataFrame:
+    """Candidates that name the subject, all of them; with a budget the first ones by key, and a flag (truncated) that says whether there were more."""
     from lectern.operators.relational import capped
 
-    named = rows.where(F.col(text).rlike("|".join(f"\\Q{s}\\E" for s in plan.subject)))
-    return capped(named.select(key, text), [key], budget)
+    named = rows.where(F.col(text).rlike("|".join(f"\\Q{s}\\E" for s in plan.subject))).select(key, text)
+    return capped(named, [key], budget) if budget else named
 
 
 def evidence_order(rows: DataFrame, key: str) -> DataFrame:
@@ -283,8 +283,14 @@ def admitted(channels: dict[str, DataFrame], key: str, quota: int = 20) -> DataF
 
 
 #: Ask words of answer slots, and relation classes with the words that ask for them and those that tell of them: a starting vocabulary, in traditional script.
-SLOTS = {"time": ("何時", "哪一年", "什麼時候"), "place": ("何地", "在哪裡", "哪裡"), "reason": ("為何", "為什麼", "何故"), "quantity": ("多少", "幾"), "office": ("何官", "什麼官")}
-RELATIONS = {"death": (("死", "去世"), ("卒", "薨", "崩", "死")), "accession": (("即位", "繼位"), ("即位", "立")), "military": (("攻打", "征伐", "戰"), ("伐", "攻", "圍", "敗")), "movement": (("遷", "逃"), ("遷", "奔", "徙")), "resignation": (("辭官", "去官"), ("去官", "辭官"))}
+#: The names of the classes are fixed values.
+SLOTS = {"time": ("何時", "哪一年", "什麼時候"), "place": ("何地", "在哪裡", "哪裡"), "reason": ("為何", "為什麼", "何故"), "quantity": ("多少", "幾"), "office": ("何官", "什麼官"), "object": ("何物", "什麼東西"), "outcome": ("結果", "結局")}
+RELATIONS = {
+    "death": (("去世", "被殺", "死"), ("卒", "薨", "崩", "殺")), "policy": (("變法", "改制"), ("變法", "更令")), "imprisonment": (("入獄", "囚禁"), ("下獄", "囚")), "punishment": (("受罰", "用刑"), ("刑", "黥")),
+    "cause": (("起因", "緣由"), ("因", "故")), "birth": (("出生", "誕生"), ("生",)), "accession": (("即位", "繼位"), ("即位", "立")), "appointment": (("任官", "拜官"), ("拜", "除", "授")),
+    "movement": (("遷往", "逃往"), ("遷", "奔", "徙")), "military": (("攻打", "征伐"), ("伐", "攻", "圍", "敗")), "document": (("著書", "編修"), ("著", "撰")), "exam": (("登科", "應試"), ("登第", "及第")),
+    "resignation": (("辭官", "致仕"), ("辭官", "乞骸骨")), "demotion": (("被貶", "降職"), ("貶", "謫")), "kinship": (("親族", "婚配"), ("娶", "妻", "子")), "quantity": (("數目", "人數"), ("萬", "千", "百")),
+}
 
 
 def question_plan(question: str) -> tuple[Plan, list[str], list[str]]:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +17,31 @@ from lectern.functions import text as T
 
 #: Fixed bounds of a plan and of a pack.
 ANCHORS, PROBES, TERMS, SEARCHES = 4, 20, 8, 6
-ITEMS, CHARACTERS, SHARED = 10, 12_000, 0.6
+ITEMS, CHARACTERS, SHARED, CANDIDATES = 10, 12_000, 0.6, 600
 
 
-def pieces(run: str, longest: int = 6) -> list[str]:
-    """A run and its parts, longer ones first, each from left to right."""
-    return list(dict.fromkeys([run, *(run[i : i + n] for n in range(min(longest, len(run) - 1), 1, -1) for i in range(len(run) - n + 1))]))
+def probes(run: str) -> list[str]:
+    """What a run is looked for by: itself, then its beginnings and endings of two characters and more, longer ones first."""
+    shorter = range(len(run) - 1, 1, -1)
+    return [run, *dict.fromkeys(part for n in shorter for part in (run[:n], run[-n:]))]
 
 
 def grounded(passages: DataFrame, runs: list[str], text: str = "normalized_text") -> list[str]:
-    """For each run its longest part that the corpus contains, ANCHORS at most. All probes, PROBES at most, are answered by one scan."""
-    probes = list(dict.fromkeys(p for run in runs for p in pieces(run)))[:PROBES]
-    if not probes:
+    """For each run the first of its probes that the corpus contains, ANCHORS at most. PROBES of them, dealt to the runs in turn, are answered by one scan."""
+    turns = [p for n in range(max(map(len, runs), default=0) * 2) for r in runs for p in probes(r)[n : n + 1]]
+    asked = list(dict.fromkeys(turns))[:PROBES]
+    if not asked:
         return []
-    found = passages.agg(*[F.max(T.contains(text, p)).alias(f"p{i}") for i, p in enumerate(probes)]).first()
-    there = {p for p, yes in zip(probes, found) if yes}
-    anchors = [next((p for p in pieces(run) if p in there), None) for run in runs]
-    return list(dict.fromkeys(a for a in anchors if a))[:ANCHORS]
+    there = passages.agg(*(F.max(T.contains(text, p)).alias(f"p{i}") for i, p in enumerate(asked))).first()
+    known = {p for i, p in enumerate(asked) if there[f"p{i}"]}
+    best = [min((p for p in probes(r) if p in known), key=probes(r).index, default=None) for r in runs]
+    return list(dict.fromkeys(filter(None, best)))[:ANCHORS]
 
 
 def searches(anchors: list[str], terms: list[str]) -> list[str]:
-    """Planned searches: all anchors together, the first ones alone, then the first with each word of the relation."""
-    if not anchors:
-        return []
-    both = [" ".join(anchors)] if len(anchors) > 1 else []
-    return list(dict.fromkeys([*both, *anchors[:3], *(f"{anchors[0]} {t}" for t in terms[:TERMS])]))[:SEARCHES]
+    """Planned searches: sets of anchors, the larger first, then each anchor with each word of the relation, the words in turn; SEARCHES at most."""
+    sets = [" ".join(some) for n in range(len(anchors), 0, -1) for some in combinations(anchors, n)]
+    return list(dict.fromkeys([*sets[: SEARCHES - 2], *(f"{a} {t}" for t in terms[:TERMS] for a in anchors), *sets]))[:SEARCHES]
 
 
 def topics(text: str, stop: str, phrases: tuple[str, ...] = ()) -> list[str]:
@@ -57,19 +60,29 @@ def topics(text: str, stop: str, phrases: tuple[str, ...] = ()) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def positions(text: Column, term: str) -> Column:
-    """Places, from 0, at which a term occurs, without overlaps."""
-    parts = F.transform(F.split(text, f"\\Q{term}\\E"), lambda p: F.length(p))
-    ahead = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    step = lambda acc, n: F.struct((acc["at"] + n + len(term)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found"))
-    return F.aggregate(ahead, start, step, lambda acc: acc["found"])
+def nearest_gap(text: Column, first: str, second: str) -> Column:
+    """The smallest distance between an occurrence of one term and one of another; null if either is missing. Time grows with the length of the text."""
 
+    def places(x: str, term: str) -> np.ndarray:
+        out, at = [], x.find(term)
+        while at >= 0:
+            out.append(at)
+            at = x.find(term, at + len(term))
+        return np.array(out, dtype=np.int64)
 
-def nearest_gap(text: Column, first: str, second: str) -> Column:
-    """The smallest distance between an occurrence of one term and one of another; null if either is missing."""
-    a, b = positions(text, first), positions(text, second)
-    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
+    @F.pandas_udf("int")
+    def gap(texts: pd.Series) -> pd.Series:
+        out = []
+        for x in texts:
+            a, b = (places(x, t) if x else np.zeros(0, dtype=np.int64) for t in (first, second))
+            if len(a) and len(b):
+                at = np.searchsorted(b, a)
+                out.append(int(np.minimum(np.abs(b[np.minimum(at, len(b) - 1)] - a), np.abs(a - b[np.maximum(at - 1, 0)])).min()))
+            else:
+                out.append(None)
+        return pd.Series(out, dtype="Int32")
+
+    return gap(text)
 
 
 def features(rows: DataFrame, text: str, anchors: list[str], terms: list[str], near: int = 24) -> DataFrame:
@@ -85,31 +98,34 @@ def features(rows: DataFrame, text: str, anchors: list[str], terms: list[str], n
     return out.withColumns({"complete": complete, "score": score})
 
 
-def selected(candidates: DataFrame, key: str, rows: str, size: str) -> DataFrame:
-    """Candidates in order of score with a decision each: selected, overlapping_context, evidence_limit or source_character_budget.
-
-    rows: an array of row ids. The choice is greedy, so candidates must be a bounded list; they are judged in one group.
+def selected(candidates: DataFrame, key: str, rows: str, size: str, firm: str | None = None) -> DataFrame:
+    """The CANDIDATES best by score with their place and what becomes of them: taken, or why not: `unsupported` (others are firm and this one is not), `same context`
+    (SHARED of the shorter list of rows is that of one taken), `no place left` (ITEMS) or `too long` (CHARACTERS). rows: an array of row ids.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        kept, used, out = [], 0, []
-        for ids, n in zip(pdf[rows], pdf[size]):
-            own = set(ids)
-            if any(len(own & k) >= SHARED * min(len(own), len(k)) for k in kept):
-                out.append("overlapping_context")
-            elif len(kept) >= ITEMS:
-                out.append("evidence_limit")
-            elif used + n > CHARACTERS:
-                out.append("source_character_budget")
-            else:
-                kept.append(own)
-                used += n
-                out.append("selected")
-        return pd.DataFrame({key: pdf[key], "place": range(1, len(pdf) + 1), "decision": out})
+        sure = pdf[firm].fillna(False).astype(bool) if firm else pd.Series(True, index=pdf.index)
+        holders: dict[int, list[int]] = {}  # row: the taken ones that hold it
+        lengths: list[int] = []
+        room, fates = CHARACTERS, []
+        for i in pdf.index:
+            own = set(pdf[rows][i])
+            shared = Counter(j for r in own for j in holders.get(r, ()))
+            same = any(n >= SHARED * min(len(own), lengths[j]) for j, n in shared.items())
+            tests = {"unsupported": sure.any() and not sure[i], "same context": same, "no place left": len(lengths) == ITEMS, "too long": pdf[size][i] > room}
+            fate = next((name for name, failed in tests.items() if failed), "taken")
+            if fate == "taken":
+                for r in own:
+                    holders.setdefault(r, []).append(len(lengths))
+                lengths.append(len(own))
+                room -= pdf[size][i]
+            fates.append(fate)
+        return pd.DataFrame({key: pdf[key], "place": range(1, len(pdf) + 1), "decision": fates})
 
     kind = candidates.schema[key].dataType.simpleString()
-    return candidates.groupBy(F.lit(1).alias("_one")).applyInPandas(choose, f"{key} {kind}, place int, decision string")
+    best = candidates.orderBy(F.desc("score"), key).limit(CANDIDATES)
+    return best.groupBy(F.lit(1).alias("_one")).applyInPandas(choose, f"{key} {kind}, place int, decision string")
 
 
 def clusters(hits: DataFrame, file: str, row: str, gap: int = 300) -> DataFrame:

@@ -32,6 +32,7 @@ class Vocabulary:
     strong: dict[str, tuple[str, ...]] = field(default_factory=dict)
     mild: dict[str, tuple[str, ...]] = field(default_factory=dict)
     stop: frozenset[str] = frozenset()
+    lasting: str = ""  # a pattern of what says how long something lasts; the intent that asks for it is `duration`
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,15 @@ class Question:
     strong: tuple[str, ...]
     mild: tuple[str, ...]
     topics: tuple[str, ...]
+    lasting: str = ""
+
+
+#: Forms of years: of a reign, before our era, and in digits. They are kept as they are written and never converted.
+YEARS = re.compile(r"(?:公元)?前[0-9]{1,4}年?|(?:[㐀-鿿]{1,2}[公王帝侯])?(?:元|[一二三四五六七八九十百]+)年|[0-9]{3,4}")
+
+
+def years(text: str) -> list[str]:
+    return [m[0] for m in YEARS.finditer(text)]
 
 
 def analyze(text: str, words: Vocabulary) -> Question:
@@ -60,10 +70,10 @@ def analyze(text: str, words: Vocabulary) -> Question:
     for name in intents:
         for a in words.asks[name]:
             rest = rest.replace(a, " ")
-    years = tuple(re.findall(r"[0-9]{3,4}", text))
+    rest = YEARS.sub(" ", rest)
     topics = tuple(dict.fromkeys(w for w in re.findall(r"\w{2,}", rest) if w not in words.stop and not w.isdigit()))
     pick = lambda table: tuple(dict.fromkeys(x for n in intents for x in table.get(n, ())))
-    return Question(text, tuple(found), tuple(own), tuple(intents), years, pick(words.strong), pick(words.mild), topics)
+    return Question(text, tuple(found), tuple(own), tuple(intents), tuple(years(text)), pick(words.strong), pick(words.mild), topics, words.lasting)
 
 
 def _hits(text: Column, terms) -> Column:
@@ -92,7 +102,8 @@ def scored(rows: DataFrame, q: Question, text: str = "text_orig") -> DataFrame:
     topic = F.when(_any(x, q.topics), TOPIC).otherwise(0.0)
     firm = (n_exact > 0) | (by_alias > 0)
     combo = F.when((n_strong > 0) & firm, COMBO).when((n_strong > 0) & ((by_weak > 0) | several), COMBO_WEAK).when(firm | (by_weak > 0) | several, COMBO_BARE).otherwise(0.0)
-    parts = {"exact": exact, "pair": pair, "alias": by_alias, "weak": by_weak, "strong": strong, "mild": mild, "topic": topic, "combo": combo}
+    lasts = F.when(firm & x.rlike(q.lasting), DURATION).otherwise(0.0) if q.lasting and "duration" in q.intents else F.lit(0.0)
+    parts = {"duration": lasts, "exact": exact, "pair": pair, "alias": by_alias, "weak": by_weak, "strong": strong, "mild": mild, "topic": topic, "combo": combo}
     detail = F.array_compact(F.array(*[F.when(v != 0, F.concat(F.lit(k + "="), v.cast("string"))) for k, v in parts.items()]))
     return rows.withColumns({"score": F.round(reduce(lambda a, b: a + b, parts.values()), 2), "detail": detail})
 
@@ -124,3 +135,20 @@ def short_forms(names: DataFrame, bare: DataFrame, least: int = 3) -> DataFrame:
     by = names.groupBy("short").agg(F.count(F.lit(1)).alias("candidates"), F.sum("n").alias("_explained"))
     out = by.join(bare, "short").withColumn("bare", F.col("total") - F.col("_explained")).where(F.col("bare") >= least)
     return out.select("short", "candidates", "bare", (F.col("candidates") == 1).alias("unique"))
+
+
+def resolved(shorts: DataFrame, names: DataFrame, curated: dict[str, str] | None = None) -> DataFrame:
+    """What short forms stand for: short, name, method. shorts: short, context (the text around it); names: name, short, n.
+
+    In turn: a curated alias, a full name of the corpus, the only full name with this end, the only one of them whose first character stands in the
+    context, else unresolved.
+    """
+    known = F.create_map(*(F.lit(x) for p in (curated or {}).items() for x in p)) if curated else F.lit(None).cast("map<string,string>")
+    by = names.groupBy("short").agg(F.array_sort(F.collect_set("name")).alias("_all"))
+    full = names.select(F.col("name").alias("short"), F.col("name").alias("_full")).distinct()
+    rows = shorts.join(by, "short", "left").join(full, "short", "left")
+    near = F.filter("_all", lambda n: F.col("context").contains(F.substring(n, 1, 1)))
+    steps = [("curated", known[F.col("short")]), ("full name", F.col("_full")), ("unique", F.when(F.size("_all") == 1, F.get("_all", F.lit(0)))), ("context", F.when(F.size(near) == 1, F.get(near, F.lit(0))))]
+    name = F.coalesce(*(c for _, c in steps))
+    method = F.coalesce(*(F.when(c.isNotNull(), m) for m, c in steps), F.lit("unresolved"))
+    return rows.select("short", name.alias("name"), method.alias("method"))

@@ -93,7 +93,7 @@ def recall_metrics(rows: DataFrame, dimension: str, outcome: str, outcomes: list
 
 
 def page(rows: DataFrame, order: list, number: int, size: int, most: int = 100) -> DataFrame:
-    """One page of an ordered result; pages count from 1, and a page has `most` rows at most."""
+    """One page of an ordered result; pages count from 1. Sizes below 1 or above `most` are taken as these bounds, as the service does."""
     if number < 1:
         raise ValueError("pages count from 1")
     size = max(1, min(size, most))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +55,26 @@ def gram_length(text: Column, n: int) -> Column:
 def bm25(passages: DataFrame, terms: list[str], text: str = "normalized_text", n: int = 3, into: str = "score") -> DataFrame:
     """Passages that contain all terms with their summed BM25; the smaller, the better (as an index reports it).
 
-    One scan for the totals and one for the scores; the totals are a single row.
+    One scan: it writes the passages that have all terms, with their sizes and counts, and observes the totals on the way.
     """
-    x = F.coalesce(F.col(text), F.lit(""))
-    size = gram_length(x, n)
-    totals = passages.agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_sum"), *[F.count_if(T.contains(x, t)).alias(f"_df{i}") for i, t in enumerate(terms)])
-    found = passages.where(reduce(lambda a, b: a & b, (T.contains(x, t) for t in terms))).crossJoin(F.broadcast(totals))  # one row
-    average = F.col("_sum") / F.col("_n")
+    from pyspark.sql import Observation
+
+    from lectern.sources.storage import stored
+
+    x = F.col("_x")
+    rows = passages.withColumn("_x", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns({"_size": gram_length(x, n)} | {f"_tf{i}": T.occurrences(x, t.lower()) for i, t in enumerate(terms)})
+    seen = Observation()
+    some = {f"df{i}": F.count_if(F.col(f"_tf{i}") > 0) for i in range(len(terms))}
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.col("_size").cast("long")).alias("total"), *(c.alias(k) for k, c in some.items()))
+    found = stored(rows.where(reduce(lambda a, b: a & b, (F.col(f"_tf{i}") > 0 for i in range(len(terms))))).drop("_x"))
+    total = seen.get
+    average = F.lit(float(total["total"] or 0) / max(1, total["n"]))
     score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        df, tf = F.col(f"_df{i}"), T.occurrences(x, t)
-        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
-    return found.withColumn(into, -score).drop("_n", "_sum", *[f"_df{i}" for i in range(len(terms))])
+    for i in range(len(terms)):
+        df, tf = total[f"df{i}"], F.col(f"_tf{i}")
+        idf = max(math.log((total["n"] - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_size") / average))
+    return found.withColumn(into, -score).drop("_size", *(f"_tf{i}" for i in range(len(terms))))
 
 
 def search(passages: DataFrame, query: str, order: list, number: int = 1, size: int = 20, table: dict[str, str] | None = None, **equal: str) -> DataFrame:
@@ -77,11 +88,24 @@ def search(passages: DataFrame, query: str, order: list, number: int = 1, size:
 
 
 def postings(passages: DataFrame, n: int, doc: str = "passage_id", text: str = "normalized_text") -> DataFrame:
-    """gram, doc, tf: an inverted index of character n-grams. Only needed where many queries share it; a single query is a scan."""
-    x = F.coalesce(F.col(text), F.lit(""))
-    places = F.when(F.length(x) >= n, F.sequence(F.lit(1), F.length(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    grams = passages.select(F.col(doc), F.explode(F.transform(places, lambda i: F.substring(x, i, F.lit(n)))).alias("gram"))
-    return grams.groupBy("gram", doc).agg(F.count(F.lit(1)).alias("tf"))
+    """gram, doc, tf: an inverted index of character n-grams, counted row by row where the rows lie, so nothing is shuffled before it is grouped by gram.
+    Only needed where many queries share it; a single query is a scan. Rows of equal doc give postings each."""
+    kind = passages.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            docs, grams, counts = [], [], []
+            for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+                found = Counter(t[i : i + n] for i in range(len(t) - n + 1)) if t else {}
+                docs += [d] * len(found)
+                grams += found
+                counts += found.values()
+                if len(docs) > 200_000:
+                    yield pd.DataFrame({"gram": grams, doc: docs, "tf": counts})
+                    docs, grams, counts = [], [], []
+            yield pd.DataFrame({"gram": grams, doc: docs, "tf": counts})
+
+    return passages.select(doc, text).mapInPandas(run, f"gram string, {doc} {kind}, tf long")
 
 
 def resolve_book(books: DataFrame, name: str, table: dict[str, str] | None = None) -> str:

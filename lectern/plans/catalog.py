@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import corpus, inquiry, more, registry, relational, retrieval, sequence  # noqa: F401  registers on import
+from lectern.plans import annals, corpus, inquiry, more, registry, relational, retrieval, sequence  # noqa: F401  registers on import
 from lectern.plans.relational import O08_paging
 
 

@@ -1,51 +1,11 @@
-"""Queries over a small corpus of our own, with what they must give spelled out: the tables at hand hold no marked-up Chinese text."""
+"""Discovery of files, states of the catalog and shapes of results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import evidence as V
-from lectern.operators import frames as R
-from lectern.operators import pack as K
 from lectern.plans.registry import query
 from lectern.plans.views import table
-from lectern.sources import markup
-
-BOOK = """#+TITLE: 小史
-# src: 小史 卷一
-* 桓公
-<pb:XS_TLS_001-1a>¶
-桓公元年春(註：元年)王正月¶
-公即位。<pb:XS_TLS_001-1b>國人(皆(喜))曰善
-# 一
-# 二
-* 莊公
-莊公卒。
-#+PART: appendix
-附錄　一則¶"""
-
-
-def rows(spark: SparkSession, texts: list[str], f: Callable[[str], list[str]]) -> DataFrame:
-    """What f finds in each text: id (from 1), n (from 1), found."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(i, n, x) for i, t in zip(batch["id"], batch["text"]) for n, x in enumerate(f(t), 1)]
-            yield pd.DataFrame(out, columns=["id", "n", "found"])
-
-    return spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string").mapInPandas(run, "id int, n int, found string")
-
-
-def values(*found: tuple[int, int, str]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {n}, '{x}')" for i, n, x in found) + ") t(id, n, found)"
-
-
-def add(name: str, texts: list[str], f: Callable[[str], list[str]], *found: tuple[int, int, str]) -> None:
-    query(values(*found), name)(lambda spark, sf: rows(spark, texts, f))
 
 
 @query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name")
@@ -55,44 +15,6 @@ def S01_discover_files(spark, sf):
     return found.select(F.regexp_extract("path", r"([a-z]+\.parquet)(?:/[^/]*)?$", 1).alias("name")).distinct()
 
 
-@query("SELECT * FROM (VALUES ('appendix', 'part', 1), ('appendix', 'passage', 1), ('commentary_candidate', 'passage', 1), ('main', 'comment', 2), ('main', 'heading', 2), ('main', 'page', 1), ('main', 'part', 1), ('main', 'passage', 4)) t(layer, kind, n)")
-def P05_record_kinds(spark, sf):
-    records = markup.parse(spark.createDataFrame([(1, BOOK)], "file_id long, text string"))
-    return records.groupBy("layer", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('桓公', 3, 8), ('莊公', 9, 12)) t(label, first_row, last_row)")
-def S07_rebuilt_sections(spark, sf):
-    from lectern.operators.sequence import closed
-
-    records = markup.parse(spark.createDataFrame([(1, BOOK)], "file_id long, text string"))
-    marks = records.where("kind = 'heading'").select("file_id", F.col("section").alias("label"), F.col("row_no").alias("first_row"))
-    return closed(marks, records.select("file_id", "row_no"), "file_id", "first_row", "row_no").select("label", "first_row", "last_row")
-
-
-add("P06_declared_titles", ["東策\ntext\n西策\n\n西策\n<pb:x>¶\n東策"], lambda t: [f"{i}:{x}" for i, x in markup.declared_titles(t.split("\n"), ["東策", "西策"])], (1, 1, "1:東策"), (1, 2, "5:西策"))
-add("P07_volume_titles", ["小史卷第三十二上¶", "小史卷十", "小史卷上", "他書卷一"], lambda t: [f"{v[0]}{v[1] or ''}"] if (v := markup.volume_title(t, "小史")) else [], (1, 1, "32上"), (2, 1, "10"))
-add("P09_bracket_pieces", ["甲(乙)丙", "甲(乙)¶", "甲(乙", "（甲）乙"], lambda t: [f"{t[s:e]}{'*' if b else ''}" for s, e, b in markup.brackets(t)], (1, 1, "甲"), (1, 2, "(乙)*"), (1, 3, "丙"), (2, 1, "甲"), (2, 2, "(乙)¶*"), (3, 1, "甲(乙"), (4, 1, "（甲）*"), (4, 2, "乙"))
-add("N10_topics", ["城濮之戰誰勝了", "葵丘會盟諸侯的經過"], lambda t: K.topics(t, "之誰了的"), (1, 1, "城濮"), (1, 2, "戰"), (1, 3, "勝"), (2, 1, "葵丘會盟"), (2, 2, "諸侯"), (2, 3, "經過"))
-add("E01_question_plan", ["齊桓公何時去世", "為何楚莊王攻打鄭國"], lambda t: [f"{','.join(p.subject)}|{','.join(p.clues)}|{','.join(s)}|{','.join(k)}" for p, s, k in [V.question_plan(t)]], (1, 1, "齊桓公||time|death"), (2, 1, "楚莊王|鄭國|reason|military"))
-PLAN = V.Plan(("齊侯",), ("卒",), ("晉",))
-add("E07_qualifiers", ["齊侯卒。", "齊侯不卒。", "若齊侯卒。", "聞齊侯卒。", "曰：「齊侯卒」。"], lambda t: [V.features(t, PLAN)["qualifier"]], (1, 1, "plain"), (2, 1, "negated"), (3, 1, "hypothetical"), (4, 1, "reported"), (5, 1, "reported"))
-add("E08_annal_events", ["桓公元年春會。三月盟。二年秋大水。"], lambda t: [f"{t[s:e]}|{'/'.join(d.values())}" for s, e, d in V.annals(t)], (1, 1, "桓公元年春會。|桓公/元/春"), (1, 2, "三月盟。|桓公/元/春/三月"), (1, 3, "二年秋大水。|桓公/二/秋"))
-add("E09_relative_time", ["桓公元年春會。明年盟。"], lambda t: [f"{r['word']}+{r['distance']}|{'/'.join(r['base'].values())}|{r['absolute_year']}" for i in range(len(t)) if (r := V.relative_time(t, i))], (1, 1, "明年+1|桓公/元/春|None"))
-add("E11_executions", ["元年春正月，誅丁公。丁公伏誅。", "夏，不殺丁公。"], lambda t: [f"{o['quote']}|{'/'.join(o['date'].values())}" for o in R.executions(t, ("丁公",))], (1, 1, "元年春正月，誅丁公。|元/春/正月"))
-add("E12_captures", ["遂戰。丁公走至下邑，遂為漢所擒。", "丁公為漢所擒。"], lambda t: [t[slice(*o["place_span"])] for o in R.captures(t, ("丁公",), ("漢",))], (1, 1, "下邑"))
-add("E14_advice", ["張良勸沛公曰：「勿居。恐失人心。」", "沛公曰：「善。」"], lambda t: [f"{o['speaker']}>{o['addressee']}|{'|'.join(t[slice(*x)] for x in o['reason_spans'])}" for o in R.advice(t)], (1, 1, "張良>沛公|恐失人心。"))
-add("E17_motives", ["疏公謂人曰：「吾老矣，恐有後悔。」疏公遂乞歸。", "疏公謂人曰：「吾老矣，恐有後悔。」疏公不乞歸。"], lambda t: [t[slice(*o["reason_span"])] for o in R.motives(t, ("疏公",), ("乞歸",), ("恐",))], (1, 1, "吾老矣，恐有後悔。"))
-add("E18_counterattacks", ["王甲將趙人圍原城，李乙擊走之。", "傳言王甲將趙人圍原城，李乙擊走之。"], lambda t: [t[slice(*o["object_span"])] for o in R.counterattacks(t, ("李乙",), ("原城",))], (1, 1, "趙人"))
-add("E19_patients", ["衛人執子瑕，遂殺之。", "令人執子瑕，殺之。"], lambda t: [t[slice(*o["reference"]["antecedent"])] for o in R.patients(t, ("子瑕",))], (1, 1, "子瑕"))
-add("E20_office_chain", ["王安，字介。遷侍郎，拜尚書。李四為丞相。授御史。", "遷侍郎。"], lambda t: [",".join(o["offices"]) for o in R.office_chain(t, "王安", "王安", ("侍郎", "尚書", "御史"))], (1, 1, "侍郎,尚書"))
-add("E21_speech_turns", ["公立。管仲謂桓公曰：「不可。」公從之。子曰「善」。", "「甲"], lambda t: [f"{s['speaker']}>{s['addressee']}:{s['text']}" for s in V.speeches(t)], (1, 1, "管仲>桓公:不可。"), (1, 2, "子>None:善"))
-add("E22_adjudication", ["齊侯伐楚。", "齊侯伐楚。齊侯不伐楚。", "齊侯不伐楚。", "齊侯將伐楚。", "楚。"], lambda t: [R.adjudicated(R.roles(t, ("齊侯",), ("楚",)))], (1, 1, "supported"), (2, 1, "disputed"), (3, 1, "contradicted"), (4, 1, "qualified"), (5, 1, "no_evidence"))
-add("E23_projected_spans", ["3-7", "0-5", "5-9"], lambda t: [str(V.projected([(7, 10, 15), (8, 0, 5)], *map(int, t.split("-"))))], (1, 1, "[(7, 13, 15), (8, 0, 2)]"), (2, 1, "[(7, 10, 15)]"), (3, 1, "[(8, 0, 4)]"))
-add("E26_focus", ["公立。管仲謂桓公曰：「不可。」公從之。", "無。"], lambda t: [t[slice(*f)] for f in [V.focus(t, V.Plan(("公",), ("從",)))] if f], (1, 1, "公從之。"))
-add("E28_biography_names", ["子房者，韓人也，名良，", "子房者，韓人也，名信，"], lambda t: [a for a in [R.appellation(t, "張良")] if a], (1, 1, "子房"))
-
-
 @query("SELECT source, lang, count(*) AS n, CASE WHEN count(*) > 20 THEN 'large' WHEN count(*) > 5 THEN 'medium' ELSE 'small' END AS state FROM documents GROUP BY 1, 2")
 def D06_catalog_states(spark, sf):
     n = F.count(F.lit(1))
@@ -103,9 +25,3 @@ def D06_catalog_states(spark, sf):
 def N15_shaped_results(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", F.col("quality").alias("label")), {"ignoreNullFields": "false"}).alias("shaped"))
-add("E10_time_slots", ["春正月甲子，公至自齊。", "公至自齊。"], lambda t: [f"{n}|{'/'.join(d.values())}" for n, d in [V.date_prefix(t)] if n] if V.date_prefix(t) else [], (1, 1, "5|春/正月/甲子"))
-add("E13_execution_terms", ["誅丁公。二年，斬丁公于市。"], lambda t: [f"{o['quote']}|{t[slice(*o['predicate_span'])]}" for o in R.executions(t, ("丁公",))], (1, 1, "二年，斬丁公于市。|斬丁公"))
-add("E15_advice_without_reason", ["或請於公曰：「戰。」", "范增說項王曰：「殺之。」"], lambda t: [f"{o['speaker']}>{o['addressee']}|{len(o['reason_spans'])}" for o in R.advice(t)], (1, 1, "或>公|0"), (2, 1, "范增>項王|0"))
-add("E16_office_departure", ["王安遂去官。", "王安不去官。", "「王安去官」。"], lambda t: [o["polarity"] for o in R.roles(t, ("王安",)) if o["kind"] == "resignation"], (1, 1, "positive_syntax"), (2, 1, "negated"))
-add("E02_relation_classes", ["楚莊王為什麼遷", "誰繼位了"], lambda t: [",".join(V.question_plan(t)[2]) + "|" + "、".join(V.question_plan(t)[0].relation)], (1, 1, "movement|遷、奔、徙"), (2, 1, "accession|即位、立"))
-add("E05_feature_order", ["晉人來。齊侯卒。"], lambda t: [f"{V.audit(t, PLAN)[0]}|{V.features(t, PLAN)['gap']}"], (1, 1, "clues_present|0"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import audit as A
@@ -42,10 +43,45 @@ def N13_rank(spark, sf):
     return N.scored(passages(spark, sf), _question()).orderBy(F.desc("score"), "book_id", "file_id", "row_no").limit(40).select("passage_id", "score")
 
 
-@query("SELECT 'how did rein and shth' AS question, 'rein' AS entity, 'change' AS intent, 'shth' AS topics, '' AS years")
+def _turns(spark, sf, f, schema):
+    """What f finds in each turn of a conversation, read as a question."""
+    names = ["conv_id", "turn", *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([(c, t, *x) for c, t, text in zip(batch["conv_id"], batch["turn"], batch["text"]) for x in f(N.analyze(text, TALK))], columns=names)
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", "text").mapInPandas(run, f"conv_id long, turn long, {schema}")
+
+
+TALK = N.Vocabulary(
+    entities=(N.Entity("rein", ("rein",), ("ung",), ("au",)), N.Entity("ndtion", ("ndtion",), ("lly",), ("of",))), asks={"change": ("what", "is"), "time": ("when", "the")},
+    strong={"change": ("ver", "tion"), "time": ("year",)}, mild={"change": ("was", "is"), "time": ("year",)},
+)
+ASKED = """q AS (SELECT conv_id, turn, contains(text, 'rein') OR contains(text, 'ung') AS a, contains(text, 'ndtion') OR contains(text, 'lly') AS b, contains(text, 'what') OR contains(text, 'is') AS c,
+contains(text, 'when') OR contains(text, 'the') AS d FROM conversations), x AS (SELECT conv_id, turn, unnest(list_concat(CASE WHEN a THEN ['entity:rein', 'alias:ung', 'weak:au'] ELSE [] END, CASE WHEN b THEN ['entity:ndtion', 'alias:lly', 'weak:of'] ELSE [] END,
+CASE WHEN c THEN ['intent:ver', 'intent:tion', 'intent_weak:was', 'intent_weak:is'] ELSE [] END, CASE WHEN d THEN ['intent:year', 'intent_weak:year'] ELSE [] END)) AS pair FROM q)"""
+
+
+def _groups(q: N.Question) -> list[tuple[str, str]]:
+    """A question's terms by role, without its topics."""
+    rows = [(role, f) for e in q.entities for role, forms in (("entity", e.canonical), ("alias", e.alias), ("weak", e.weak)) for f in forms]
+    return rows + [("intent", t) for t in q.strong] + [("intent_weak", t) for t in q.mild]
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, concat_ws(',', CASE WHEN a THEN 'rein' END, CASE WHEN b THEN 'ndtion' END) AS entities, concat_ws(',', CASE WHEN c THEN 'change' END, CASE WHEN d THEN 'time' END) AS intents FROM q")
 def N01_analyze(spark, sf):
-    q = _question()
-    return spark.createDataFrame([(q.text, ",".join(e.name for e in q.entities), ",".join(q.intents), ",".join(q.topics), ",".join(q.years))], "question string, entity string, intent string, topics string, years string")
+    return _turns(spark, sf, lambda q: [(",".join(e.name for e in TALK.entities if e in q.entities), ",".join(q.intents))], "entities string, intents string")
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, split_part(pair, ':', 1) AS role, split_part(pair, ':', 2) AS term FROM x")
+def N08_expansion(spark, sf):
+    return _turns(spark, sf, _groups, "role string, term string")
+
+
+@query(f"WITH {ASKED} SELECT DISTINCT conv_id, turn, split_part(pair, ':', 2) AS term FROM x WHERE NOT starts_with(pair, 'intent_weak')")
+def N07_flat_expansion(spark, sf):
+    return _turns(spark, sf, lambda q: [(t,) for t in dict.fromkeys(t for role, t in _groups(q) if role != "intent_weak")], "term string")
 
 
 @query("SELECT doc_id, form, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'ndtion|rein|ung')) AS form FROM documents) GROUP BY 1, 2")
@@ -54,11 +90,6 @@ def N03_entity_mentions(spark, sf):
     return table(spark, sf, "documents").select("doc_id", found).groupBy("doc_id", "form").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}')) AS year FROM documents")
-def N06_years(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([0-9]{4})"), F.lit(1))).alias("year"))
-
-
 @query(f"WITH {PASSAGES} SELECT passage_id FROM passages WHERE CASE WHEN (SELECT count(*) FROM passages WHERE contains(text_orig, 'rein')) > 0 THEN contains(text_orig, 'rein') ELSE contains(text_orig, 'shth') END")
 def N11_two_pools(spark, sf):
     return N.pools(passages(spark, sf), F.col("text_orig").contains("rein"), F.col("text_orig").contains("shth")).select("passage_id")

@@ -15,17 +15,17 @@ from lectern.operators import sequence as Q
 from lectern.plans.inquiry import NAMES, PLAN, WORDS
 from lectern.plans.registry import query
 from lectern.plans.retrieval import ACC, ACCENTS, MARKED, _marked
-from lectern.plans.sequence import _block_rows, _first
+from lectern.plans.sequence import _files, _first
 from lectern.plans.views import PASSAGES, passages, sections, table
 from lectern.sources import catalog as C
 from lectern.sources import storage
 
 
-@query("SELECT lang AS book_id, count(*) AS n, sum(row_no) AS rows FROM (SELECT lang, unnest(generate_series(1, len(string_split(text, chr(10))))) AS row_no FROM documents WHERE doc_id < 200) GROUP BY 1")
+@query("SELECT lang AS book_id, count(*) AS n, sum(row_no) AS rows FROM (SELECT lang, unnest(generate_series(1, len(string_split(text, chr(10))))) AS row_no FROM documents) GROUP BY 1")
 def S06_jsonl_round_trip(spark, sf):
     from lectern.sources.markup import RECORD, parse
 
-    d = table(spark, sf, "documents").where("doc_id < 200")
+    d = table(spark, sf, "documents")
     records = parse(d.select(F.col("doc_id").alias("file_id"), "text")).join(d.select(F.col("doc_id").alias("file_id"), F.col("lang").alias("book_id")), "file_id")
     path = storage.shared_dir(spark)
     storage.write_jsonl(records, path)
@@ -98,11 +98,9 @@ def J13_query_vectors(spark, sf):
     return e.crossJoin(F.broadcast(few)).select("q", "vec_id", F.round(D.inner_product(F.col("embedding"), F.col("qv")), 6).alias("score"))
 
 
-@query(f"WITH {PASSAGES} SELECT file_id, count(*) AS hits FROM passages WHERE contains(text_orig, 'ver') GROUP BY 1")
+@query(f"WITH {PASSAGES} SELECT file_id, count(*) AS hits FROM passages WHERE contains(text_orig, 'ver') AND kind = 'passage' GROUP BY 1")
 def A17_block_matches(spark, sf):
-    rows = _block_rows(spark, sf)
-    found = B.assemble(rows, rows.where(F.col("text_orig").contains("ver")).select("file_id", "row_no", F.lit(1.0).alias("score")))
-    return found.groupBy("file_id").agg(F.sum("match_count").alias("hits"))
+    return B.over_files(_files(spark, sf), "ver").groupBy("file_id").agg(F.sum("match_count").alias("hits"))
 
 
 @query(f"WITH {PASSAGES} SELECT passage_id FROM passages WHERE contains(lower(normalized_text), 'ung') ORDER BY book_id, file_id, row_no LIMIT 100")
@@ -117,19 +115,14 @@ def Q06_all_hits(spark, sf):
 
 @query()
 def Q11_block_search(spark, sf):
-    rows = _block_rows(spark, sf)
-    text = rows.where(F.col("text_orig").contains("rein")).select("file_id", "row_no", F.lit(0.0).alias("score"))
-    titles = sections(spark, sf).where(F.col("label").contains("rein")).select("file_id", F.col("first_row").alias("row_no"), F.lit(1.0).alias("score"))
-    both = R.match_types(text.select((F.col("file_id") * 1_000_000 + F.col("row_no")).alias("key")), titles.select((F.col("file_id") * 1_000_000 + F.col("row_no")).alias("key")), "key")
-    hits = both.select(F.floor(F.col("key") / 1_000_000).cast("long").alias("file_id"), (F.col("key") % 1_000_000).cast("int").alias("row_no"), F.when(F.col("match_type") == "section", 1.0).otherwise(0.0).alias("score"))
-    return R.page(B.assemble(rows, hits), [F.desc("match_count"), "score", "file_id", "row_first"], 1, 20)
+    return R.page(B.listed(B.over_files(_files(spark, sf), "rein", opens="and")), [F.col("part"), F.desc("match_count"), "score", "file_id", "row_first"], 1, 20)
 
 
-@query("""WITH x AS (SELECT doc_id, text FROM documents WHERE contains(text, 'rein') AND contains(text, 'ung') AND length(text) < 1500),
+@query("""WITH x AS (SELECT doc_id, text FROM documents WHERE contains(text, 'rein') AND contains(text, 'ung')),
 a AS (SELECT doc_id, i FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 3)) AS i FROM x) WHERE substr(text, CAST(i AS INT), 4) = 'rein'),
 b AS (SELECT doc_id, i FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM x) WHERE substr(text, CAST(i AS INT), 3) = 'ung') SELECT doc_id, min(abs(a.i - b.i)) AS gap FROM a JOIN b USING (doc_id) GROUP BY 1""")
 def Q13_nearest_gap(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) < 1500").select("doc_id", K.nearest_gap(F.col("text"), "rein", "ung").cast("long").alias("gap"))
+    d = table(spark, sf, "documents").where(F.col("text").contains("rein") & F.col("text").contains("ung")).select("doc_id", K.nearest_gap(F.col("text"), "rein", "ung").cast("long").alias("gap"))
     return d.where("gap is not null")
 
 
@@ -139,16 +132,21 @@ def C01_bound_chunks(spark, sf):
     return K.bound_chunks(p, "file_id", "row_no", "boundary", "text_orig")
 
 
-@query("SELECT doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(substr(text, 1, 1000)), '\\s+')), ['the', 'of', 'und'])) / 3.0::DOUBLE AS model_score FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 120)")
+@query("SELECT doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(substr(text, 1, 1000)), '\\s+')), ['the', 'of', 'und'])) / 3.0::DOUBLE AS model_score FROM (SELECT * FROM documents ORDER BY (length(text) - length(replace(text, 'the', ''))) / 3 DESC, doc_id LIMIT 120)")
 def C10_rerank(spark, sf):
-    return K.reranked(table(spark, sf, "documents").orderBy("doc_id").limit(120), "the of und", "text").select("doc_id", "model_score")
+    best = table(spark, sf, "documents").orderBy(F.desc(F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))), "doc_id").limit(120)
+    return K.reranked(best, "the of und", "text").select("doc_id", "model_score")
 
 
 @query()
 def C09_hybrid(spark, sf):
-    keyword = S.bm25(table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("normalized_text")), ["rein"]).orderBy("score", "key").limit(60).select("key", "score")
-    semantic = D.nearest(table(spark, sf, "embeddings"), _first(spark, sf), 60).select(F.col("vec_id").alias("key"), "score")
-    lists = {"keyword": D.ranked(keyword, [F.col("score"), F.col("key")]), "semantic": D.ranked(semantic, [F.desc("score"), F.col("key")])}
+    """Keyword, semantic and planned channels over the same keys: a document's vector is that of its id."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("normalized_text"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), "embedding").join(docs.select("key"), "key", "left_semi")
+    keyword = S.bm25(docs, ["rein"]).orderBy("score", "key").limit(60).select("key", "score")
+    semantic = D.nearest(vectors, _first(spark, sf), 60, "key")
+    planned = S.hits(docs, S.plan("rein ver")).select("key").orderBy("key").limit(60)
+    lists = {"keyword": D.ranked(keyword, [F.col("score"), F.col("key")]), "semantic": D.ranked(semantic, [F.desc("score"), F.col("key")]), "planned": D.ranked(planned, [F.col("key")])}
     return D.fuse(lists, "key", 20)
 
 
@@ -165,10 +163,11 @@ def N02_intents(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(found)).alias("intent"))
 
 
-@query(f"WITH {NAMES}, s AS (SELECT short, count(*) AS k, min(name) AS one FROM n GROUP BY 1) SELECT short, CASE WHEN k = 1 THEN one END AS name FROM s")
+@query(f"""WITH {NAMES}, s AS (SELECT short, count(*) AS k, min(name) AS one, count(*) FILTER (WHERE contains('ABCDEF', left(name, 1))) AS near, min(name) FILTER (WHERE contains('ABCDEF', left(name, 1))) AS other FROM n GROUP BY 1)
+SELECT short, CASE WHEN k = 1 THEN one WHEN near = 1 THEN other END AS name, CASE WHEN k = 1 THEN 'unique' WHEN near = 1 THEN 'context' ELSE 'unresolved' END AS method FROM s""")
 def N04_alias_resolution(spark, sf):
     names = N.names_in_corpus(table(spark, sf, "documents"), "text", "[A-Z][a-z]{1,3}tion")
-    return names.groupBy("short").agg(F.count(F.lit(1)).alias("k"), F.min("name").alias("only")).select("short", F.when(F.col("k") == 1, F.col("only")).alias("name"))
+    return N.resolved(names.select("short", F.lit("ABCDEF").alias("context")).distinct(), names)
 
 
 @query(f"WITH {NAMES} SELECT name, n FROM n WHERE n >= 3")
@@ -176,14 +175,6 @@ def N05_known_entities(spark, sf):
     return N.names_in_corpus(table(spark, sf, "documents"), "text", "[A-Z][a-z]{1,3}tion").where("n >= 3").select("name", "n")
 
 
-@query("SELECT * FROM (VALUES ('entity', 'rein'), ('alias', 'ung'), ('weak', 'au'), ('intent', 'ver'), ('intent', 'tion'), ('intent_weak', 'was'), ('intent_weak', 'is'), ('topic', 'shth')) v(role, term)")
-def N08_expansion(spark, sf):
-    q = N.analyze("how did rein and shth", WORDS)
-    rows = [("entity", f) for e in q.entities for f in e.canonical] + [("alias", f) for e in q.entities for f in e.alias] + [("weak", f) for e in q.entities for f in e.weak]
-    rows += [("intent", t) for t in q.strong] + [("intent_weak", t) for t in q.mild] + [("topic", t) for t in q.topics]
-    return spark.createDataFrame(rows, "role string, term string")
-
-
 @query(f"WITH {NAMES} SELECT short AS term, CASE WHEN count(DISTINCT name) > 1 THEN 'weak' ELSE 'alias' END AS role FROM n GROUP BY 1")
 def N09_term_tiers(spark, sf):
     names = N.names_in_corpus(table(spark, sf, "documents"), "text", "[A-Z][a-z]{1,3}tion")
@@ -198,10 +189,12 @@ def N14_hit_clusters(spark, sf):
 
 @query()
 def N16_evidence_pack(spark, sf):
-    p = passages(spark, sf).where(F.col("text_orig").contains("rein"))
-    scored = K.features(p, "text_orig", ["rein"], ["ver", "ung"]).orderBy(F.desc("score"), "passage_id").limit(240)
-    near = scored.select("passage_id", "score", F.expr("transform(sequence(-4, 6), d -> passage_id + d)").alias("rows"), F.length("text_orig").alias("size"))
-    return K.selected(near, "passage_id", "rows", "size")
+    p = passages(spark, sf)
+    scored = K.features(p.where(F.col("text_orig").contains("rein")), "text_orig", ["rein"], ["ver", "ung"]).orderBy(F.desc("score"), "passage_id").limit(240)
+    near = Q.context(p.select("file_id", "row_no", "passage_id", "text_orig"), scored, "file_id", "row_no", 6).where("distance between -4 and 6")  # of the same file
+    around = near.groupBy("file_id", F.col("anchor").alias("row_no")).agg(F.array_sort(F.collect_list("passage_id")).alias("rows"), F.sum(F.length("text_orig")).cast("int").alias("size"))
+    firm = F.col("complete") & F.coalesce(F.col("gap") <= 24, F.lit(False))
+    return K.selected(scored.select("file_id", "row_no", "passage_id", "score", firm.alias("firm")).join(around, ["file_id", "row_no"]), "passage_id", "rows", "size", "firm")
 
 
 @query("SELECT doc_id, CAST(contains(text, 'au') AS INT) AS n_clues FROM documents WHERE regexp_matches(text, 'rein|ung')")
@@ -237,14 +230,6 @@ def X02_sessions(spark, sf):
     return sessions(table(spark, sf, "events"))
 
 
-@query()
-def E06_role_frames(spark, sf):
-    from lectern.operators.frames import Frame, observed
-
-    frames = (Frame("one", ("ver", "tion")), Frame("two", (" au", " un"), True, (" ",)))
-    return observed(table(spark, sf, "documents"), "doc_id", "text", ("rein", "ung"), ("en", "la"), frames)
-
-
 @query("SELECT doc_id, position('ver' IN text) - 1 AS start, substr(text, position('ver' IN text), 8) AS quote FROM documents WHERE contains(text, 'ver') AND NOT contains(substr(text, position('ver' IN text) + 1), 'ver')")
 def E24_unique_quotes(spark, sf):
     at = F.instr("text", "ver")
@@ -252,9 +237,9 @@ def E24_unique_quotes(spark, sf):
     return table(spark, sf, "documents").where(once).select("doc_id", (at - 1).cast("long").alias("start"), F.substring("text", at, F.lit(8)).alias("quote"))
 
 
-@query("WITH c AS (SELECT doc_id, CAST(n AS INT) AS n, n * 20 AS s, n * 20 + length(substr(text, CAST(n * 20 + 1 AS INT), 240)) AS e FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 220) / 20.0) AS INT) - 1, 0))) AS n FROM documents WHERE length(text) BETWEEN 1 AND 1500)) SELECT a.doc_id, a.n AS a, b.n AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.n < b.n WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.8 * least(a.e - a.s, b.e - b.s)")
+@query("WITH c AS (SELECT doc_id, CAST(n AS INT) AS n, n * 20 AS s, n * 20 + length(substr(text, CAST(n * 20 + 1 AS INT), 240)) AS e FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 220) / 20.0) AS INT) - 1, 0))) AS n FROM documents WHERE length(text) > 0)) SELECT a.doc_id, a.n AS a, b.n AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.n < b.n WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.8 * least(a.e - a.s, b.e - b.s)")
 def J12_span_overlap(spark, sf):
-    c = Q.windows(table(spark, sf, "documents").where("length(text) <= 1500"), ["doc_id"], "text", 240, 220).select("doc_id", "n", F.col("start").alias("s"), (F.col("start") + F.length("piece")).alias("e"))
+    c = Q.windows(table(spark, sf, "documents"), ["doc_id"], "text", 240, 220).select("doc_id", "n", F.col("start").alias("s"), (F.col("start") + F.length("piece")).alias("e"))
     # spans of one text that overlap share a cell of 240 characters, or lie in neighbouring ones
     cell = F.floor(F.col("s") / 240)
     b = c.select("doc_id", F.col("n").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(F.array(cell - 1, cell)).alias("cell"))
@@ -276,13 +261,6 @@ def C13_planned_channel(spark, sf):
     return Q.interleaved(lists[0].unionByName(lists[1]), "item", "list_no", "rank", 40)
 
 
-@query("SELECT * FROM (VALUES ('rein'), ('ung'), ('au'), ('ver'), ('tion'), ('shth')) t(term)")
-def N07_flat_expansion(spark, sf):
-    q = N.analyze("how did rein and shth", WORDS)
-    terms = [f for e in q.entities for f in (*e.canonical, *e.alias, *e.weak)] + list(q.strong) + list(q.topics)
-    return spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-
-
 @query("SELECT 0 AS differing")
 def D10_bm25_check(spark, sf):
     """BM25 by scan against BM25 from postings, for one trigram: rows that differ by more than 1e-9."""
@@ -300,10 +278,9 @@ def D10_bm25_check(spark, sf):
 
 @query()
 def Q15_blocks_with_metadata(spark, sf):
-    rows = _block_rows(spark, sf)
-    found = B.assemble(rows, rows.where(F.col("text_orig").contains("rein")).select("file_id", "row_no", F.lit(0.0).alias("score")), "long")
     meta = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("book_id"), "lang")
-    return found.join(meta, "file_id").select("block_id", "book_id", "lang", "row_first", "row_last", "match_count", "n_chars")
+    found = B.over_files(_files(spark, sf), "rein", "long", opens="and")
+    return found.join(meta, "file_id").select("block_id", "book_id", "lang", "row_first", "row_last", "match_count", "n_chars", "match_type")
 
 
 @query()

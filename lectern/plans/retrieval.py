@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -34,9 +35,9 @@ def F04_all_groups(spark, sf):
     return passages(spark, sf).where(T.contains_all("text_orig", [["rein", "ndtion"], ["are", "ver"]])).select("passage_id")
 
 
-@query(f"WITH {PASSAGES} SELECT passage_id, row_no FROM passages WHERE file_id < 100 AND kind = 'passage' AND family = 'en' AND contains(text_orig, 'on') ORDER BY file_id, row_no LIMIT 50")
+@query(f"WITH {PASSAGES} SELECT passage_id, row_no FROM passages WHERE kind = 'passage' AND family = 'en' AND contains(text_orig, 'on') ORDER BY file_id, row_no LIMIT 50")
 def F05_facets(spark, sf):
-    p = passages(spark, sf).where("file_id < 100 and kind = 'passage' and family = 'en'").where(F.col("text_orig").contains("on"))
+    p = passages(spark, sf).where("kind = 'passage' and family = 'en'").where(F.col("text_orig").contains("on"))
     return p.orderBy("file_id", "row_no").limit(50).select("passage_id", "row_no")
 
 
@@ -110,19 +111,19 @@ def S05_family_of_edition(spark, sf):
     return table(spark, sf, "documents").select("doc_id", m[F.col("lang")].alias("family"))
 
 
-@query(f"WITH {PASSAGES}, w AS (SELECT file_id, row_no, text_orig, kind FROM passages WHERE file_id < 50), c AS (SELECT file_id, min(row_no) AS lo, max(row_no) AS hi, row_no // 4 AS block FROM passages WHERE kind = 'passage' AND file_id < 50 GROUP BY file_id, row_no // 4) SELECT w.file_id, w.row_no, c.block FROM w LEFT JOIN c ON w.file_id = c.file_id AND w.row_no BETWEEN c.lo AND c.hi")
+@query(f"WITH {PASSAGES}, w AS (SELECT file_id, row_no, text_orig, kind FROM passages), c AS (SELECT file_id, min(row_no) AS lo, max(row_no) AS hi, row_no // 4 AS block FROM passages WHERE kind = 'passage' GROUP BY file_id, row_no // 4) SELECT w.file_id, w.row_no, c.block FROM w LEFT JOIN c ON w.file_id = c.file_id AND w.row_no BETWEEN c.lo AND c.hi")
 def S11_raw_window(spark, sf):
     from lectern.operators.relational import as_of
 
-    p = passages(spark, sf).where("file_id < 50")
+    p = passages(spark, sf)
     c = p.where("kind = 'passage'").groupBy("file_id", F.floor(F.col("row_no") / 4).alias("block")).agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
     found = as_of(p.select("file_id", "row_no"), c, "file_id", "row_no", "lo", ["block", "hi"])
     return found.select("file_id", "row_no", F.when(F.col("row_no") <= F.col("hi"), F.col("block")).alias("block"))
 
 
-@query("SELECT event_id, k, v FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events WHERE event_id < 500) t, LATERAL (SELECT json_extract_string(props, '$.' || k) AS v)")
+@query("SELECT event_id, k, v FROM (SELECT event_id, unnest(json_keys(props)) AS k, props FROM events) t, LATERAL (SELECT json_extract_string(props, '$.' || k) AS v)")
 def S12_json_blocks(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 500")
+    e = table(spark, sf, "events")
     return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
 
 
@@ -212,10 +213,16 @@ def Q09_spellings(spark, sf):
     return S.hits(table(spark, sf, "conversations"), S.plan("ré", {"é": "e"}), "text").select("conv_id", "turn")
 
 
-@query("SELECT q, long, short, path FROM (VALUES ('rein', 1, 0, 'trigram'), ('on', 0, 1, 'bigram'), ('a', 0, 1, 'scan'), ('rein on', 1, 1, 'trigram'), ('on a', 0, 2, 'scan')) t(q, long, short, path)")
+@query("""SELECT conv_id, turn, len(list_filter(w, lambda x: length(x) >= 3)) AS long, len(list_filter(w, lambda x: length(x) < 3)) AS short,
+CASE WHEN len(list_filter(w, lambda x: length(x) >= 3)) > 0 THEN 'trigram' WHEN len(w) > 0 AND len(list_filter(w, lambda x: length(x) <> 2)) = 0 THEN 'bigram' ELSE 'scan' END AS path
+FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations)""")
 def Q01_query_plan(spark, sf):
-    rows = [(q, len(p.long), len(p.short), p.path) for q in ("rein", "on", "a", "rein on", "on a") for p in [S.plan(q)]]
-    return spark.createDataFrame(rows, "q string, long int, short int, path string")
+    def run(batches):
+        for batch in batches:
+            rows = [(c, t, len(p.long), len(p.short), p.path) for c, t, x in zip(batch["conv_id"], batch["turn"], batch["text"]) for p in [S.plan(x)]]
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "long", "short", "path"])
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, long long, short long, path string")
 
 
 MARKED = "'<pb:' || book_id || '_' || family || '_' || (file_id % 50) || '-' || row_no || (CASE WHEN row_no % 3 = 0 THEN '' ELSE 'a' END) || '>' || text_orig || '¶'"
@@ -276,11 +283,3 @@ def P17_title_patterns(spark, sf):
     patterns = [("caps", "^[A-Z]+ ", 0.9), ("article", "^The [a-z]+", 0.8), ("short", "^.{0,40}$", 0.5)]
     p = passages(spark, sf).withColumn("m", first_pattern(F.col("text_orig"), patterns)).where("m is not null")
     return p.select("passage_id", "m.method", "m.confidence")
-
-
-NUMERALS = [("三十二", 32), ("十", 10), ("一百零五", 105), ("二千三百", 2300), ("百二十", 120), ("一二三", 123), ("17", 17), ("卷三", None), ("", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'CAST(NULL AS INT)' if b is None else b})" for a, b in NUMERALS) + ") t(label, number)")
-def P20_chinese_numbers(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in NUMERALS], "label string").select("label", T.chinese_number("label").alias("number"))

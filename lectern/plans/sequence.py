@@ -130,9 +130,10 @@ def C06_rank_fusion(spark, sf):
 
 @query()
 def C07_overlap_suppression(spark, sf):
-    c = Q.windows(table(spark, sf, "documents").where(F.col("text").contains("ndtion")), ["doc_id"], "text", 240, 220)
-    hits = c.where(F.col("piece").contains("ndtion")).select("doc_id", "start", (F.col("start") + F.length("piece")).alias("end")).orderBy("doc_id", "start").limit(120)
-    return D.without_overlaps(D.ranked(hits, [F.col("doc_id"), F.col("start")]), "rank", "doc_id", "start", "end")
+    c = Q.windows(table(spark, sf, "documents").where(F.col("text").contains("ndtion")), ["doc_id"], "text", 240, 220).where(F.col("piece").contains("ndtion"))
+    n = (F.length("piece") - F.length(F.replace("piece", F.lit("ndtion"), F.lit("")))).alias("n")
+    best = c.select("doc_id", "start", (F.col("start") + F.length("piece")).alias("end"), n).orderBy(F.desc("n"), "doc_id", "start").limit(D.CANDIDATES)
+    return D.without_overlaps(D.ranked(best, [F.desc("n"), F.col("doc_id"), F.col("start")]), "rank", "doc_id", "start", "end")
 
 
 def _block_rows(spark, sf):
@@ -140,18 +141,18 @@ def _block_rows(spark, sf):
     return p.select("file_id", "row_no", "kind", F.lit("main").alias("layer"), F.floor(F.col("row_no") / 12).cast("string").alias("boundary"), "text_orig")
 
 
+def _files(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")
+
+
 @query()
 def W03_result_blocks(spark, sf):
-    rows = _block_rows(spark, sf)
-    hits = rows.where(F.col("text_orig").contains("rein")).select("file_id", "row_no", (-F.length("text_orig")).cast("double").alias("score"))
-    return B.assemble(rows, hits)
+    return B.over_files(_files(spark, sf), "rein", score=lambda line: -float(len(line)))
 
 
 @query()
 def O03_block_order(spark, sf):
-    rows = _block_rows(spark, sf)
-    hits = rows.where(F.col("text_orig").contains("ndtion")).select("file_id", "row_no", F.lit(1.0).alias("score"))
-    return B.ranked(B.assemble(rows, hits, "short")).limit(20)
+    return B.listed(B.over_files(_files(spark, sf), "an", "short", opens="and")).limit(200)
 
 
 @query(f"""WITH {SECTIONS}, s AS (SELECT file_id, first_row, label, lead(first_row) OVER (PARTITION BY file_id ORDER BY first_row) AS stop FROM sections), h AS (SELECT * FROM s WHERE contains(label, 'an'))

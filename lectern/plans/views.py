@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-#: Makes a passage's id from its file and line, so that no global numbering is needed.
-STRIDE = 1_000_000
+#: Makes a passage's id from its file and line, so that no global numbering is needed. A line's number is an int, so ids of two files never meet.
+STRIDE = 1 << 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import DIGITS, UNITS
+
 RECORD = "file_id long, seq int, row_no int, kind string, layer string, section string, text_orig string, char_start int, char_end int, page string"
 
 
@@ -129,22 +131,18 @@ def conserved(records: DataFrame, texts: DataFrame, file_id: str = "file_id", te
     return texts.select(F.col(file_id).alias("file_id"), F.col(text).alias("_text")).join(body, "file_id", "left").where(~F.col("_text").eqNullSafe(F.col("body"))).select("file_id")
 
 
-_DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-_UNITS = {"十": 10, "百": 100, "千": 1000}
-
-
 def number(text: str) -> int | None:
     """A Chinese or plain number; None for anything else."""
     if text.isascii() and text.isdigit():
         return int(text)
-    if not text or any(c not in _DIGITS and c not in _UNITS for c in text):
+    if not text or any(c not in DIGITS and c not in UNITS for c in text):
         return None
     total, now = 0, None
     for c in text:
-        if c in _UNITS:
-            total, now = total + (1 if now is None else now) * _UNITS[c], None
+        if c in UNITS:
+            total, now = total + (1 if now is None else now) * UNITS[c], None
         else:
-            now = _DIGITS[c] if now is None else now * 10 + _DIGITS[c]
+            now = DIGITS[c] if now is None else now * 10 + DIGITS[c]
     return total + (now or 0)
 
 

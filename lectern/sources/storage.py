@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the session's spark.checkpoint.dir, which is set here only where it is unset."""
+    """A new path in the session's spark.checkpoint.dir. Where that is unset a local session gets a folder of its own, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/lectern-shared"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lectern-shared-")  # one machine, one process
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 

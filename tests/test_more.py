@@ -33,16 +33,20 @@ def test_manifest_and_vectors(spark):
 def test_grounded_words_and_searches(spark):
     df = spark.createDataFrame([("齊桓公會諸侯于葵丘",), ("管仲病",)], "normalized_text string")
     assert K.grounded(df, ["問齊桓公", "管仲", "無此"]) == ["齊桓公", "管仲"]
-    assert K.searches(["a", "b"], ["x"]) == ["a b", "a", "b", "a x"] and K.searches([], ["x"]) == []
+    assert K.probes("葵丘會") == ["葵丘會", "葵丘", "丘會"] and K.probes("管仲") == ["管仲"]
+    assert K.searches(["a", "b"], ["x"]) == ["a b", "a", "b", "a x", "b x"] and K.searches([], ["x"]) == [] and len(K.searches(list("abcd"), ["x", "y"])) == K.SEARCHES
     assert K.topics("城濮之戰誰勝了", "誰了之", ("怎麼",)) == ["城濮", "戰", "勝"] or K.topics("城濮之戰", "之") == ["城濮", "戰"]
 
 
 def test_gaps_and_pack(spark):
-    df = spark.createDataFrame([("abXXcdXab",), ("ab",), ("cdab",)], "t string")
-    assert [r.g for r in df.select(K.nearest_gap(F.col("t"), "ab", "cd").alias("g")).collect()] == [3, None, 2]
+    df = spark.createDataFrame([("abXXcdXab",), ("ab",), ("cdab",), (None,), ("ab" * 200_000 + "cd",)], "t string")
+    assert [r.g for r in df.select(K.nearest_gap(F.col("t"), "ab", "cd").alias("g")).collect()] == [3, None, 2, None, 2]
     rows = [(1, 9, [1, 2, 3], 100), (2, 8, [2, 3, 4], 100), (3, 7, [10], 11_950), (4, 6, [20], 100)]
     got = {r.k: r.decision for r in K.selected(spark.createDataFrame(rows, "k int, score int, rows array<int>, n int"), "k", "rows", "n").collect()}
-    assert got == {1: "selected", 2: "overlapping_context", 3: "source_character_budget", 4: "selected"}
+    assert got == {1: "taken", 2: "same context", 3: "too long", 4: "taken"}
+    rows = [(i, 20 - i, [10 * i], 1, i != 2) for i in range(13)]
+    got = [r.decision for r in K.selected(spark.createDataFrame(rows, "k int, score int, rows array<int>, n int, firm boolean"), "k", "rows", "n", "firm").orderBy("place").collect()]
+    assert got == ["taken", "taken", "unsupported", *["taken"] * 8, "no place left", "no place left"]
 
 
 def test_clusters_and_bound_chunks(spark):
@@ -111,3 +115,57 @@ def test_streaming_windows(spark, tmp_path):
     q = ingest.windows(stream, "1 day").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from w").count() == ingest.windows(events, "1 day").count()
+
+
+def test_aliases_step_by_step(spark):
+    from lectern.operators import question as N
+
+    names = spark.createDataFrame([("齊桓公", "桓公", 9), ("魯桓公", "桓公", 4), ("晉文公", "文公", 3)], "name string, short string, n int")
+    rows = [("桓公", "魯人立桓公"), ("桓公", "齊與魯"), ("文公", ""), ("齊桓公", ""), ("仲父", ""), ("子犯", "")]
+    got = [(r.short, r.name, r.method) for r in N.resolved(spark.createDataFrame(rows, "short string, context string"), names, {"仲父": "管仲"}).collect()]
+    want = [("桓公", "魯桓公", "context"), ("桓公", None, "unresolved"), ("文公", "晉文公", "unique"), ("齊桓公", "齊桓公", "full name"), ("仲父", "管仲", "curated"), ("子犯", None, "unresolved")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert N.years("莊公元年，前206年，三十二年，1999") == ["莊公元年", "前206年", "三十二年", "1999"]
+
+
+def test_durations_count_where_the_entity_is_named(spark):
+    from lectern.operators import question as N
+
+    words = N.Vocabulary((N.Entity("Ann", ("Ann",)),), {"duration": ("how long",)}, lasting=r"[0-9]+ years")
+    df = spark.createDataFrame([("Ann ruled 7 years",), ("Bob ruled 7 years",), ("Ann ruled",)], "text_orig string")
+    assert [r.score for r in N.scored(df, N.analyze("how long did Ann", words)).collect()] == [N.DURATION + N.EXACT + N.COMBO_BARE, 0.0, N.EXACT + N.COMBO_BARE]
+
+
+def test_blocks_of_files_are_those_of_rows(spark):
+    import random
+
+    from lectern.operators import blocks as B
+
+    rng = random.Random(5)
+    files = [(i, "\n".join(rng.choice(["", "and so on", "a hit here " * rng.randint(1, 9), "plain line " * rng.randint(1, 30), "¶"]) for _ in range(rng.randint(1, 60)))) for i in range(40)]
+    df = spark.createDataFrame(files, "file_id long, text string")
+    rows = [(f, i, line, "passage" if line.strip("¶ ") else "page", "main", str(max([j for j, x in enumerate(t.split("\n")[:i], 1) if "and" in x], default=0))) for f, t in files for i, line in enumerate(t.split("\n"), 1)]
+    table = spark.createDataFrame(rows, "file_id long, row_no int, text_orig string, kind string, layer string, boundary string")
+    for length in B.LIMITS:
+        got = B.over_files(df, "hit", length, opens="and", score=lambda line: -float(len(line)))
+        want = B.assemble(table, table.where(F.col("text_orig").contains("hit")).select("file_id", "row_no", (-F.length("text_orig")).cast("double").alias("score")), length)
+        assert sorted(map(str, got.drop("match_type").collect())) == sorted(map(str, want.collect()))
+    titles = [(1, "x\nand a hit\nfirst\n\nand none\nlast hit")]
+    got = B.over_files(spark.createDataFrame(titles, "file_id long, text string"), "hit", "short", opens="and").collect()
+    assert [(r.row_first, r.match_type) for r in got] == [(2, "both"), (5, "text")]
+
+
+def test_quotes_are_found_by_an_inner_word(spark):
+    from lectern.operators.audit import quoted
+
+    items = spark.createDataFrame([(1, "b cc d"), (2, "cc"), (3, None), (4, "x  y z"), (5, "")], "i int, text string")
+    texts = spark.createDataFrame([(1, "ab cc dx"), (2, "b cc"), (3, None), (4, "x  y z"), (5, "x y z")], "t int, text string")
+    assert sorted(tuple(r) for r in quoted(items, texts, "i", "t").collect()) == [(1, 1), (2, 1), (2, 2), (4, 4), (5, 1), (5, 2), (5, 4), (5, 5)]
+
+
+def test_shared_folder_on_a_cluster_must_be_named():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda k, d=None: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(N(conf=conf, sparkContext=N(getConf=lambda: conf, master="yarn")))
