@@ -19,19 +19,31 @@ BATCH_BYTES = 16 << 20
 
 
 def scanned(df: DataFrame) -> DataFrame:
-    """df if it is a scan of files, with columns and filters at most, so that rows have a place in a file; else df stored and read again."""
+    """df if it is a scan of Parquet files, with columns and filters at most, so that rows have a place in a file; else df stored and read again."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().apply(0)
-    if node.nodeName() == "LogicalRelation":
+    if node.nodeName() == "LogicalRelation" and node.relation().toString() == "parquet":
         return df
     return stored(df)
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """df with ROW_KEY, which stays the same however often a task runs. Callers that key a frame twice pass it through scanned() first."""
-    df = scanned(df.drop(*ROW_KEY))
-    return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1]))
+def _key(df: DataFrame, names: tuple[str, str]) -> DataFrame:
+    place = df.metadataColumn("_metadata")  # also where a column has that name
+    return df.select("*", F.xxhash64(place["file_path"]).alias(names[0]), place["row_index"].alias(names[1]))
+
+
+def keyed(df: DataFrame, **columns: str) -> DataFrame:
+    """ROW_KEY, which stays the same however often a task runs, and the named columns of df under new names, whatever else df has.
+    Callers that key a frame twice pass it through scanned() first."""
+    return _key(scanned(df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))), ROW_KEY).select(*ROW_KEY, *columns)
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of df, a scan, whose ROW_KEY is not in gone; all columns of df, whatever their names."""
+    names = tuple(next(n for k in range(len(df.columns) + 1) if (n := f"{x}{k or ''}").lower() not in {c.lower() for c in df.columns}) for x in ROW_KEY)
+    left = _key(df, names).join(gone.select(*(F.col(x).alias(n) for x, n in zip(ROW_KEY, names))), [*names], "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, scanned, stored, with_row_key
+from lectern.llm.common import ROW_KEY, keyed, scanned, stored, without
 
 #: Counters of a task's summary, and the bound of what is broadcast.
 COUNTERS = 1024
@@ -67,8 +67,8 @@ def frequent(rows: DataFrame, key: str, k: int = COUNTERS) -> list[str]:
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: ROW_KEY, id, text_sha256, keep_id, group_size, kept."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    rows = stored(with_row_key(docs.select(doc_id, text)).select(*ROW_KEY, F.col(doc_id).alias("id"), digest.alias("text_sha256")))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    rows = stored(keyed(docs, id=doc_id, text=text).select(*ROW_KEY, "id", digest.alias("text_sha256")))
     own = F.struct("id", *ROW_KEY)
     hot = rows.sparkSession.createDataFrame([(x,) for x in frequent(rows, "text_sha256", counters)], "text_sha256 string")
     winners = rows.join(F.broadcast(hot), "text_sha256").groupBy("text_sha256").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -85,4 +85,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs without the rows that repeat another's text; all its columns."""
     docs = scanned(docs)
     gone = exact_groups(docs, doc_id, text).where("not kept").select(*ROW_KEY)
-    return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)
+    return without(docs, gone)

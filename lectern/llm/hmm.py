@@ -8,9 +8,10 @@ So the probability of a text is a product of that of its classes, summed exactly
 
 Every training token is read in every pass. Each task sums its expected counts, one row for each class that it has seen, and
 these rows are added in a shuffle; what reaches the driver and is broadcast is (OWN+BUCKETS+1) x STATES numbers, whatever the input.
-For the expected counts, texts are cut into pieces of SEGMENT tokens; scores are over whole texts. Exact counts of words
-cannot all be broadcast: the TIER most frequent ones are (of 64 bytes at most each), and the other words of a text meet their
-counts in a shuffle, where no key is frequent any more.
+Expected counts and scores are over whole texts; of a long one, pieces hand their forward and backward values on, which bounds the memory and changes
+nothing. Exact counts of words cannot all be broadcast: the TIER most frequent ones are, ties in order of a hash, and the other words of a text meet their
+counts in a shuffle, where no key is frequent any more. Words of more than LONG_WORD bytes are known by a digest with their first and last two bytes, so they are
+words like any others, however long.
 
 Null text counts as empty and has the end as its only token; a null id counts as the empty string where the held-out part is chosen. Repeated rows are
 scored, and if in the training part counted, each. Without training texts every count is zero. An empty table gives no rows.
@@ -18,6 +19,7 @@ scored, and if in the training part counted, each. Without training texts every
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, slices, stored, with_row_key, word_runs
+from lectern.llm.common import ROW_KEY, as_bytes, keyed, slices, stored, word_runs
 
-STATES, PASSES, SEGMENT = 8, 6, 512
-OWN, BUCKETS, TIER, TIER_BYTES = 16_384, 4_096, 131_072, 64
+STATES, PASSES = 8, 6
+#: The E-step takes texts of up to WHOLE tokens as they are, GROUP_TOKENS at a time; longer ones in pieces of SEGMENT tokens, GROUP of them at a time.
+WHOLE, GROUP_TOKENS, SEGMENT, GROUP = 2_048, 524_288, 512, 1_024
+OWN, BUCKETS, TIER, LONG_WORD = 16_384, 4_096, 131_072, 64
 #: The end of a text among words, and its class.
 END, END_CLASS = b"", 0
 CLASSES = 1 + OWN + BUCKETS
@@ -40,6 +44,8 @@ LEAN, LEAN_NEXT = 200.0, 1.0
 FOLDS, HELD_OUT = 7, 2
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
+#: Cells of a hash in which the words of one bin of counts are told apart.
+CELL_BITS = 12
 
 
 def fold(doc_id: Column) -> Column:
@@ -56,6 +62,14 @@ def bucket_of(word: Column) -> Column:
     return (F.crc32(ends) % BUCKETS + 1 + OWN).cast("int")
 
 
+def runs(text: bytes) -> Iterator[list[bytes]]:
+    """word_runs() with words of more than LONG_WORD bytes by their digests; 0xff stands in no UTF-8 text."""
+    for part in word_runs(text):
+        if max(map(len, part)) > LONG_WORD:
+            part = [w if len(w) <= LONG_WORD else w[:2] + b"\xff" + hashlib.blake2b(w, digest_size=16).digest() + w[-2:] for w in part]
+        yield part
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word, c: exact counts over one text column, with the end of each text."""
 
@@ -69,7 +83,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for batch in slices(whole, 0):
                 for text in as_bytes(batch.column(0)):
                     seen[END] += 1
-                    for part in word_runs(text):
+                    for part in runs(text):
                         seen.update(part)
                     if len(seen) > COUNTED:
                         yield out()
@@ -85,16 +99,24 @@ def count_bin(c: Column) -> Column:
     return F.floor(F.log2(c) * 32)
 
 
-def cutoff(counts: DataFrame, most: int) -> int:
-    """The lowest bin of counts such that `most` words at most are in it and above."""
-    total, least = 0, 64 * 32
-    rows = counts.groupBy(count_bin(F.col("c")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    for r in sorted(rows.collect(), key=lambda r: -r.bin):  # 64 x 32 rows at most
-        total += r.n
-        if total > most:
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """`most` words at most, the most frequent ones: whole bins of counts, and of the bin that does not fit the words with the smallest hashes.
+    Both cuts come from histograms, so no task and no driver sorts words."""
+    binned = counts.withColumns({"bin": count_bin(F.col("c")), "cell": F.shiftrightunsigned(F.xxhash64("word"), 64 - CELL_BITS)})
+    left, split = most, None
+    for r in sorted(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.bin):  # 64 x 32 rows at most
+        if r.n > left:
+            split = r.bin
+            break
+        left -= r.n
+    if split is None:
+        return counts
+    stop = 0
+    for r in sorted(binned.where(F.col("bin") == split).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.cell):  # 2 ** CELL_BITS rows at most
+        if r.n > left:
             break
-        least = r.bin
-    return least
+        left, stop = left - r.n, r.cell + 1
+    return binned.where((F.col("bin") > split) | ((F.col("bin") == split) & (F.col("cell") < stop))).select(*counts.columns)
 
 
 class Tier:
@@ -120,7 +142,7 @@ class Tier:
     def encode(self, text: bytes) -> tuple[np.ndarray, int, float, float, Counter]:
         """Classes of a text's words, words that are known to the tier, sum of log10(c+1) over these, the same of those in shared classes, and the other words."""
         classes, known, total, shared, other = [], 0, 0.0, 0.0, Counter()
-        for part in word_runs(text):
+        for part in runs(text):
             at = np.fromiter(map(self.place.get, part, repeat(-1)), dtype=np.int32, count=len(part))
             own = self.classes[at]
             logs = self.log[at]
@@ -167,20 +189,55 @@ class Model:
         return Model(start, step, emit, self.scale)
 
 
-def expected(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The E-step over pieces of one length or less: expected starts, transitions and emissions. Pieces must be in order of falling length."""
+def _ragged(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces, in order of falling length, by time and then piece: observations, how many are there at each time, and where each time begins."""
     length = np.array([len(p) for p in pieces])
-    n, most = len(pieces), int(length[0])
-    padded = np.zeros((most, n), dtype=np.int16)
+    most = int(length[0])
+    padded = np.zeros((most, len(pieces)), dtype=np.int16)
     for i, p in enumerate(pieces):
         padded[: len(p), i] = p
-    obs = padded[np.arange(most)[:, None] < length[None, :]]  # by time, then piece; at time t the first active[t] pieces are there
     active = np.searchsorted(-length, -np.arange(most), side="left")
-    first = np.r_[0, np.cumsum(active)]
+    return padded[np.arange(most)[:, None] < length[None, :]], active, np.r_[0, np.cumsum(active)]
+
+
+def transfers(model: Model, pieces: list[np.ndarray]) -> np.ndarray:
+    """Of each piece the matrix, up to a factor, that takes what states are likely before its first token to what they are after its last. Pieces in order of falling length."""
+    obs, active, first = _ragged(pieces)
+    step = model.step.astype(np.float32)
+    e = model.emit.astype(np.float32)[obs]
+    e /= e.max(axis=1, keepdims=True)
+    out = np.zeros((len(pieces), STATES, STATES), dtype=np.float32)
+    v = np.eye(STATES, dtype=np.float32)[None] * e[: len(pieces), None, :]
+    for t, m in enumerate(active.tolist()):
+        if t:
+            v = v[:m].reshape(-1, STATES) @ step
+            v = v.reshape(m, STATES, STATES)
+            v *= e[first[t] : first[t + 1], None, :]
+            if t % 8 == 0:  # often enough that nothing gets too small
+                v /= v.sum(axis=(1, 2), keepdims=True)
+        done = active[t + 1] if t + 1 < len(active) else 0
+        if done < m:
+            out[done:m] = v[done:m] / v[done:m].sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def expected(model: Model, pieces: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The E-step over pieces, in order of falling length: expected starts, transitions and emissions.
+
+    before: for each piece the forward values at the token ahead of it, or zeros where a text starts; after: up to a factor, the backward values at its last token.
+    Without them every piece is a text.
+    """
+    obs, active, first = _ragged(pieces)
+    n, most = len(pieces), len(active)
     step = model.step.astype(np.float32)
     e = model.emit.astype(np.float32)[obs]
     gamma = np.empty_like(e)  # first the forward values
-    a = model.start.astype(np.float32)
+    start = np.broadcast_to(model.start.astype(np.float32), (n, STATES))
+    starts = np.ones(n, dtype=bool)
+    if before is not None:
+        starts = ~before.any(axis=1)
+        start = np.where(starts[:, None], start, before @ step)
+    a = start
     for t, m in enumerate(active.tolist()):
         lo, hi = first[t], first[t + 1]
         a = a * e[lo:hi] if t == 0 else (a[:m] @ step) * e[lo:hi]
@@ -190,6 +247,10 @@ def expected(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         e[lo:hi] /= z  # scaled, as the backward values need it
     moves = np.zeros((STATES, STATES), dtype=np.float64)
     beta = np.ones((n, STATES), dtype=np.float32)
+    if after is not None:
+        last = first[np.array([len(p) for p in pieces]) - 1] + np.arange(n)
+        beta = (after / (gamma[last] * after).sum(axis=1, keepdims=True)).astype(np.float32)
+        gamma[last] *= beta
     back = np.ascontiguousarray(step.T)
     for t in range(most - 2, -1, -1):
         m = active[t + 1]
@@ -198,9 +259,53 @@ def expected(model: Model, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         moves += gamma[lo : lo + m].T @ right
         beta[:m] = right @ back
         gamma[lo : lo + m] *= beta[:m]
+    if before is not None:
+        moves += before.T @ (beta * e[:n])
     moves *= model.step
     counts = np.stack([np.bincount(obs, weights=gamma[:, j], minlength=CLASSES) for j in range(STATES)], axis=1)
-    return gamma[: active[0]].sum(axis=0, dtype=np.float64), moves, counts
+    return gamma[:n][starts].sum(axis=0, dtype=np.float64), moves, counts
+
+
+def expected_of_long(model: Model, texts: list[np.ndarray]) -> list[tuple]:
+    """Parts of expected() of texts in pieces of SEGMENT tokens that hand their forward and backward values on: the same sums, in memory that a run of pieces bounds."""
+    places = [(i, k) for i, x in enumerate(texts) for k in range(0, len(x), SEGMENT)]
+    places.sort(key=lambda p: -min(SEGMENT, len(texts[p[0]]) - p[1]))
+    pieces = [texts[i][k : k + SEGMENT] for i, k in places]
+    at = {p: j for j, p in enumerate(places)}
+    through = np.concatenate([transfers(model, pieces[j : j + GROUP]) for j in range(0, len(pieces), GROUP)]).astype(np.float64)
+    before, after = np.zeros((len(pieces), STATES)), np.ones((len(pieces), STATES))
+    for i, text in enumerate(texts):
+        own = [at[i, k] for k in range(0, len(text), SEGMENT)]
+        x = model.start
+        for j, then in zip(own, own[1:]):
+            x = x @ through[j]
+            before[then] = x = x / x.sum()
+            x = x @ model.step
+        for j, then in zip(own[-2::-1], own[:0:-1]):
+            x = model.step @ (through[then] @ after[then])
+            after[j] = x / x.sum()
+    return [expected(model, pieces[j : j + GROUP], before[j : j + GROUP].astype(np.float32), after[j : j + GROUP]) for j in range(0, len(pieces), GROUP)]
+
+
+def expected_sums(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """expected() of any texts: whole up to WHOLE tokens, GROUP_TOKENS at a time, in pieces beyond."""
+    parts = [(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))]
+    if long := [x for x in texts if len(x) > WHOLE]:
+        parts += expected_of_long(model, long)
+    group, size = [], 0
+    for x in sorted((x for x in texts if 0 < len(x) <= WHOLE), key=len, reverse=True):
+        if group and size + len(x) > GROUP_TOKENS:
+            parts.append(expected(model, group))
+            group, size = [], 0
+        group.append(x)
+        size += len(x)
+    if group:
+        parts.append(expected(model, group))
+    return _sum(parts)
+
+
+def _sum(parts: list[tuple]) -> tuple:
+    return tuple(sum(x) for x in zip(*parts))
 
 
 def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -238,14 +343,8 @@ def _train(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int) -
             start, moves, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
             for whole in batches:
                 for batch in slices(whole, 0, 8 << 20):
-                    pieces = []
-                    for raw in batch.column(0).to_pylist():
-                        ids = np.frombuffer(raw, dtype=np.int16)
-                        pieces += [ids[i : i + SEGMENT] for i in range(0, len(ids), SEGMENT)]
-                    pieces.sort(key=len, reverse=True)
-                    for i in range(0, len(pieces), 1024):
-                        s, m, c = expected(own, pieces[i : i + 1024])
-                        start, moves, counts = start + s, moves + m, counts + c
+                    s, m, c = expected_sums(own, [np.frombuffer(raw, dtype=np.int16) for raw in batch.column(0).to_pylist()])
+                    start, moves, counts = start + s, moves + m, counts + c
             seen = np.flatnonzero(counts.any(axis=1))
             keys = np.r_[seen, -1, -2 - np.arange(STATES)]
             table = np.concatenate([counts[seen], start[None], moves])
@@ -268,13 +367,12 @@ def _train(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int) -
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passes: int = PASSES) -> DataFrame:
     """One row per input row: ROW_KEY, id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = with_row_key(docs.select(doc_id, text)).select(*ROW_KEY, F.col(doc_id).alias("id"), (fold(F.col(doc_id)) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
+    rows = keyed(docs, id=doc_id, text=text).select(*ROW_KEY, "id", (fold(F.col("id")) == HELD_OUT).alias("held_out"), "text")
     counts = stored(count_words(rows.where("not held_out").select("text")))
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     is_end = F.col("word") == F.lit(bytearray(END))
     ends = counts.where(is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    frequent = counts.where(~is_end & (F.octet_length("word") <= TIER_BYTES))
-    top = frequent.where(count_bin(F.col("c")) >= cutoff(frequent, TIER)).collect()  # TIER rows of TIER_BYTES at most
+    top = most_frequent(counts.where(~is_end), TIER).collect()  # TIER rows of LONG_WORD bytes at most
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
     tier = Tier([bytes(r.word) for r in top], [r.c for r in top])
     names = tier.words[:OWN]

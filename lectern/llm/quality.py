@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, scanned, slices, stored, with_row_key
+from lectern.llm.common import ROW_KEY, as_bytes, keyed, scanned, slices, stored, without
 from lectern.llm.tokens import hash_words
 
 SAMPLE = 16_384
@@ -179,7 +179,8 @@ def rated(docs: DataFrame, ratings: DataFrame, sample: int, doc_id: str, text: s
         known = known.where(F.col("order") < int((1 << 40) * 1.5 * sample / n))
     chosen = stored(known.orderBy("order", "id").limit(sample).drop("order"))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("grade", "text")  # `sample` rows are broadcast
+    rows = rows.join(F.broadcast(chosen), "id")  # `sample` rows are broadcast
+    return rows.groupBy("id").agg(F.min(F.struct("grade", "text")).alias("x")).select("x.grade", "x.text")  # one row for each id, however often it is there
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +215,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
 
 def score(docs: DataFrame, weights: np.ndarray, cut: np.ndarray, grade: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ROW_KEY, id, expected_grade, tail_probability (of `grade` or better), kept."""
-    rows = with_row_key(docs.select(doc_id, text)).select(*ROW_KEY, F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = keyed(docs, id=doc_id, text=text)
     shared = rows.sparkSession.sparkContext.broadcast((weights, cut))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +246,4 @@ def select_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     """docs that are kept; all columns."""
     docs = scanned(docs)
     gone = classify(docs, labels, doc_id, text).where("not kept").select(*ROW_KEY)
-    return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)
+    return without(docs, gone)

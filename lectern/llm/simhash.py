@@ -6,7 +6,7 @@ bytes would hold n/256 fingerprints each and meet n*n/64 pairs, so a posting her
 bytes. The sets are the 14 blocks of the Steiner system S(3,4,8): any three positions lie in a block, and its complement is a
 block too, so whichever three bytes differ, some posting consists of equal ones. No link is lost, and a posting of random
 fingerprints holds n / 2**32 of them. In each posting the shared positional bytes of a pair are tallied, pairs below
-five are dropped, and the others are verified bit by bit.
+five are dropped, and the others are verified bit by bit. The tally only spares work: whatever passes the check of its bits shares five bytes.
 
 Equal fingerprints count once: rows are first gathered to distinct fingerprints with map-side partial sums, so groups of copies
 never meet. Of a posting's links only a spanning forest leaves the task, one edge to the smallest member of each linked set;
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, scanned, shingles, shuffle_parts, slices, stored, with_row_key
+from lectern.llm.common import ROW_KEY, as_bytes, keyed, scanned, shingles, shuffle_parts, slices, stored, without
 from lectern.llm.graph import components
 
 BITS, NEAR, SHINGLE, SEED = 64, 3, 3, 42
@@ -171,7 +171,7 @@ def links(nodes: DataFrame, column: str = "fp") -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ROW_KEY, id, fp (the fingerprint as a signed long), component_id, best (true for the row that stays)."""
-    rows = with_row_key(docs.select(doc_id, text)).select(*ROW_KEY, F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = keyed(docs, id=doc_id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +201,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """docs with one row of each component, that with its smallest id; all columns."""
     docs = scanned(docs)
     gone = near_groups(docs, doc_id, text).where("not best").select(*ROW_KEY)
-    return with_row_key(docs).join(gone, [*ROW_KEY], "left_anti").select(*docs.columns)
+    return without(docs, gone)

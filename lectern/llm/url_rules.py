@@ -2,7 +2,8 @@
 
 A host's labels are reversed and each is followed by a dot (blog.example.net gives net.example.blog.), so the hosts that a
 rule covers are those whose key starts with the rule's: an interval in byte order, and two such intervals are nested or
-apart. Rules and URLs are dealt to ranges of the key, sorted within them and swept once; a stack holds the rules whose
+apart. Rules and URLs are dealt to ranges of the key, sorted within them and swept once; a URL's key ends with a hash of its row, so equal URLs (or all those without
+a host) fill several ranges; a stack holds the rules whose
 intervals are open. A rule whose interval spans several ranges goes to each of them, so no range needs another's stack.
 
 The ranges come from a sample of keys and only balance the tasks: URLs of one host are split by path, so a host with a third
@@ -91,6 +92,8 @@ def judge(urls: DataFrame, rules: DataFrame, row_id: str, url: str = "url", defa
     parts = shuffle_parts(spark)
     rows = urls.select(F.col(row_id).alias("row_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumn("key", F.concat(host_key(F.col("host")).cast("binary"), F.lit(bytearray(END)), F.col("path").cast("binary")))
+    # rows of one key are apart in the order, so that ranges split them, too; rules fit by host and path alone
+    rows = rows.withColumn("key", F.concat("key", F.lit(bytearray(END)), F.unhex(F.lpad(F.hex(F.xxhash64("row_id", F.monotonically_increasing_id())), 16, "0"))))
     rows = rows.select("*", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
     n = rows.count()
     share = min(1.0, SAMPLE * parts / max(1, n))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, stored, with_row_key
+from lectern.llm.common import ROW_KEY, keyed, stored
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -62,12 +62,12 @@ def record_id(id_: Column, file: Column, row: Column) -> Column:
 
 def write(pages: DataFrame, path: str, row_id: str = "page_id", url: str = "url", content: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of all rows under path, uncompressed, as many files as the scan has tasks."""
-    keyed = with_row_key(pages.select(row_id, url, content)).select(*ROW_KEY, F.col(row_id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(content), F.lit("")).alias("payload"))
-    narrow = stored(keyed.select(*ROW_KEY, "id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")))
+    whole = keyed(pages, id=row_id, url=url, content=content).select(*ROW_KEY, "id", "url", F.coalesce("content", F.lit("")).alias("payload"))
+    narrow = stored(whole.select(*ROW_KEY, "id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")))
     again = revisits(narrow, least_bytes)
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
-    rows = keyed.join(again, [*ROW_KEY], "left")
+    rows = whole.join(again, [*ROW_KEY], "left")
     old = F.col("target").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(old, F.lit("")).otherwise(F.col("payload")))
