@@ -83,3 +83,47 @@ def volume_audit(measured: DataFrame, declared: Column) -> DataFrame:
     n = F.col("n")
     codes = F.array_compact(F.array(F.when(n < declared, "missing"), F.when(n > declared, "surplus"), F.when(F.col("gaps") > 0, "gap"), F.when(F.col("split") > 0, "split")))
     return measured.withColumn("problems", F.array_join(codes, ",")).withColumn("level", F.when(n < declared, "FAIL").when(F.size(codes) > 0, "WARN").otherwise("OK"))
+
+
+#: Layers in which a term can get lost, in their order, with the class of an empty result that ends there.
+LAYERS = (("listed", "coverage"), ("imported", "coverage"), ("in_text", "absent"), ("in_index", "normalization"), ("found", "search"), ("assembled", "assembly"))
+
+
+def attributed(books: DataFrame, rows: DataFrame, terms: list[str], book: str, text: str, searchable: str, passage: Column) -> DataFrame:
+    """For each book and term the layer in which an empty result arises: book, term, reached (the last layer that still has it), reason (hit if all have).
+
+    books: book, listed. Layers: the catalog lists the book; rows of it are there; the term is in the original text with other characters than letters and digits
+    ignored; it is so in the searchable text; a search for it as it stands has hits; a hit is a passage, from which a block can grow. One scan answers all.
+    """
+    from lectern.functions.text import letters_only
+
+    sums = [F.count(F.lit(1)).alias("_n")]
+    for i, t in enumerate(terms):
+        bare = "".join(c for c in t.lower() if c.isalnum())
+        hit = F.coalesce(F.col(searchable).contains(t), F.lit(False))
+        conditions = (letters_only(text).contains(bare), F.coalesce(letters_only(searchable).contains(bare), F.lit(False)), hit, hit & passage)
+        sums += [F.count_if(c).alias(f"_{i}_{k}") for k, c in enumerate(conditions)]
+    counted = books.select(book, "listed").join(rows.groupBy(book).agg(*sums), book, "full_outer")
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), *(F.coalesce(F.col(f"_{i}_{k}"), F.lit(0)).alias(f"_{k}") for k in range(4))) for i, t in enumerate(terms)))).alias("x")
+    out = counted.select(book, F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("_n", F.lit(0)).alias("_n"), each).select(book, "listed", "_n", "x.*")
+    there = [F.col("listed"), F.col("_n") > 0, *(F.col(f"_{k}") > 0 for k in range(4))]
+    reason, reached = F.lit("hit"), F.lit(LAYERS[-1][0])
+    for i in range(len(LAYERS) - 1, -1, -1):
+        reason = F.when(~there[i], LAYERS[i][1]).otherwise(reason)
+        reached = F.when(~there[i], LAYERS[i - 1][0] if i else "none").otherwise(reached)
+    return out.select(book, "term", reached.alias("reached"), reason.alias("reason"))
+
+
+def publishable(files: DataFrame, allowed: list[str], forbidden: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """What stands against publishing an export: path, problem. files: path, title, text; allowed: patterns of paths; forbidden: words of titles; texts: text, the
+    published passages, of which every file's quotation must be a part."""
+    from lectern.sources.storage import stored
+
+    listed = reduce(lambda a, b: a | b, (F.col("path").rlike(p) for p in allowed), F.lit(False))
+    barred = reduce(lambda a, b: a | b, (F.col("title").contains(w) for w in forbidden), F.lit(False))
+    checks = F.array_compact(F.array(F.when(~listed, "file not allowed"), F.when(F.coalesce(barred, F.lit(False)), "forbidden title")))
+    out = files.select("path", F.explode(checks).alias("problem"))
+    if texts is not None:
+        found = stored(quoted(files, texts.withColumn("_row", F.lit(1)), "path", "_row").select("path").distinct())
+        out = out.unionByName(files.join(found, "path", "left_anti").select("path", F.lit("quotation without source").alias("problem")))
+    return out

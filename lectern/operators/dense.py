@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -56,3 +57,23 @@ def without_overlaps(rows: DataFrame, order: str, source: str, start: str, end:
 
     names = rows.columns
     return rows.orderBy(order).limit(CANDIDATES).groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: keep(pdf)[names], rows.schema)
+
+
+def encoded(texts: DataFrame, encoder, text: str, into: str = "embedding", tokens: int = 512, size: int | None = None) -> DataFrame:
+    """texts with their vectors from a model. encoder: a picklable object with load() -> a function of a list of texts to a list of vectors, called once for each worker
+    and then by Arrow batch; tokens: white-space separated words, beyond which a text is refused rather than cut (as the model would cut it silently)."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder.load()
+        for batch in batches:
+            own = batch.fillna("").tolist()
+            for t in own:
+                if len(t.split()) > tokens:
+                    raise ValueError(f"a text of {len(t.split())} words is longer than the encoder's {tokens}")
+            vectors = [list(map(float, v)) for v in model(own)] if own else []
+            if size and any(len(v) != size for v in vectors):
+                raise ValueError(f"the encoder's vectors have not {size} numbers")
+            yield pd.Series(vectors, index=batch.index, dtype=object)
+
+    return texts.withColumn(into, run(F.col(text)))

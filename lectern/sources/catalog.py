@@ -38,3 +38,22 @@ def require(books: DataFrame, key: str = "book_id") -> DataFrame:
 
 def union_of_layers(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+#: Fixed names of a book's states.
+STATES = ("verified", "partial", "warning", "failed", "imported", "planned")
+
+
+def reconciled(catalog: DataFrame, held: DataFrame, key: str = "book_id") -> DataFrame:
+    """Each book of the catalog or of the store with its state: key, status, catalog_gap (held, but not in the catalog).
+
+    catalog: key, recall_verified; held: key, coverage (OK, WARN or FAIL), indexed (the index finds the book's own text), volumes (complete, partial or unknown).
+    A book that is not held is planned; one that fails its coverage or its index has failed; then come a low coverage, missing volumes, and books that were
+    checked against their queries.
+    """
+    both = catalog.select(key, "recall_verified", F.lit(True).alias("_listed")).join(held.select(key, "coverage", "indexed", "volumes", F.lit(True).alias("_held")), key, "full_outer")
+    status = (
+        F.when(F.col("_held").isNull(), "planned").when((F.col("coverage") == "FAIL") | ~F.coalesce("indexed", F.lit(False)), "failed").when(F.col("coverage") == "WARN", "warning")
+        .when(F.col("volumes") == "partial", "partial").when(F.coalesce("recall_verified", F.lit(False)), "verified").otherwise("imported")
+    )
+    return both.select(key, status.alias("status"), F.col("_listed").isNull().alias("catalog_gap"))

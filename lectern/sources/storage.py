@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,51 @@ def vector_faults(vectors: DataFrame, vector: str, size: int) -> DataFrame:
     """How many vectors are missing, of another size, or hold no numbers."""
     v = F.col(vector)
     return vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != size).alias("other_size"), F.count_if(F.exists(v, lambda x: F.isnan(x) | x.isNull())).alias("no_numbers"))
+
+
+def _field(name: str):
+    return lambda r: r[name]
+
+
+def packed(rows: DataFrame, group: str, order: str, columns: list[str], dictionary: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A columnar export: per group one row with an array for each column, in order, dictionary columns as codes; and the dictionaries (c, code, value).
+
+    Codes number a column's values in their order, from 0; null has the code -1. A dictionary column has few values (see dictionary_columns), which are broadcast
+    only if Spark finds them small.
+    """
+    values = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("value")) for c in dictionary))).alias("x")).select("x.*").where("value is not null").distinct()
+    codes = stored(values.withColumn("code", F.row_number().over(Window.partitionBy("c").orderBy("value")) - 1).select("c", "code", "value"))
+    out = rows
+    for c in dictionary:
+        own = codes.where(F.col("c") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"_code_{c}"))
+        out = out.join(own, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_code_{c}", F.lit(-1))).drop(f"_{c}", f"_code_{c}")
+    lists = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *(F.col(c) for c in columns))))
+    whole = out.groupBy(group).agg(lists.alias("_rows"))
+    return whole.select(group, F.size("_rows").alias("n"), *(F.transform("_rows", _field(c)).alias(c) for c in columns)), codes
+
+
+def unpacked(whole: DataFrame, codes: DataFrame, group: str, columns: list[str], dictionary: list[str]) -> DataFrame:
+    """The rows of an export again, with their place in the group; an array of another length than n is an error."""
+    even = [F.when(F.size(c) == F.col("n"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} has another length"))).alias(c) for c in columns]
+    rows = whole.select(group, *even).select(group, F.posexplode(F.arrays_zip(*columns)).alias("place", "r")).select(group, "place", "r.*")
+    for c in dictionary:
+        own = codes.where(F.col("c") == c).select(F.col("code").alias(f"_code_{c}"), F.col("value").alias(f"_{c}"))
+        rows = rows.join(own, F.col(c) == F.col(f"_code_{c}"), "left").withColumn(c, F.col(f"_{c}")).drop(f"_{c}", f"_code_{c}")
+    return rows
+
+
+def trace(rows: DataFrame, path: str, day: Column | None = None) -> None:
+    """Appends rows (one per query) to a log of JSON lines with a folder for each day, so old days can be removed as folders. Nothing is rewritten."""
+    rows.withColumn("day", day if day is not None else F.current_date()).write.mode("append").partitionBy("day").json(path)
+
+
+def keep_traces(spark: SparkSession, path: str, days: int) -> list[str]:
+    """Removes all but the last `days` folders of a log; returns what it removed."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("day="))
+    gone = found[: max(0, len(found) - days)]
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+    return gone
