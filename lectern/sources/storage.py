@@ -79,12 +79,12 @@ def packed(rows: DataFrame, group: str, order: str, columns: list[str], dictiona
         out = out.join(own, F.col(c).cast("string") == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_code_{c}", F.lit(-1))).drop(f"_{c}", f"_code_{c}")
     lists = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *(F.col(c) for c in columns))))
     whole = out.groupBy(group).agg(lists.alias("_rows"))
-    return whole.select(group, F.size("_rows").alias("n"), *(F.transform("_rows", _field(c)).alias(c) for c in columns)), codes
+    return whole.select(group, F.size("_rows").alias("n_rows"), *(F.transform("_rows", _field(c)).alias(c) for c in columns)), codes
 
 
 def unpacked(whole: DataFrame, codes: DataFrame, group: str, columns: list[str], dictionary: list[str]) -> DataFrame:
-    """The rows of an export again, with their place in the group; an array of another length than n is an error."""
-    even = [F.when(F.size(c) == F.col("n"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} has another length"))).alias(c) for c in columns]
+    """The rows of an export again, with their place in the group; an array of another length than n_rows is an error."""
+    even = [F.when(F.size(c) == F.col("n_rows"), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} has another length"))).alias(c) for c in columns]
     rows = whole.select(group, *even).select(group, F.posexplode(F.arrays_zip(*columns)).alias("place", "r")).select(group, "place", "r.*")
     for c in dictionary:
         own = codes.where(F.col("c") == c).select(F.col("code").alias(f"_code_{c}"), F.col("value").alias(f"_{c}"))

@@ -169,3 +169,47 @@ def test_shared_folder_on_a_cluster_must_be_named():
     conf = N(get=lambda k, d=None: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(N(conf=conf, sparkContext=N(getConf=lambda: conf, master="yarn")))
+
+
+def test_traces_are_appended_and_aged(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-03"):
+        storage.trace(spark.createDataFrame([("q", 3)], "query string, hits int"), path, F.lit(day))
+    assert spark.read.json(path).count() == 4
+    assert storage.keep_traces(spark, path, 2) == ["day=2024-01-01"] and spark.read.json(path).count() == 3
+
+
+class Lengths:
+    """An encoder that needs no model."""
+
+    def load(self):
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def test_vectors_of_an_encoder(spark):
+    from lectern.operators import dense
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "k int, t string")
+    assert [r.embedding for r in dense.encoded(df, Lengths(), "t", size=2).orderBy("k").collect()] == [[2.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="longer than the encoder"):
+        dense.encoded(spark.createDataFrame([(1, "a b c")], df.schema), Lengths(), "t", tokens=2).collect()
+    with pytest.raises(ValueError, match="between 1 and 100"):
+        dense.nearest(df, [1.0], 101)
+
+
+def test_packed_and_unpacked(spark):
+    rows = [("a", 2, "x", None), ("a", 1, None, 5), ("b", 1, "y", 7), ("b", 2, "x", 8)]
+    df = spark.createDataFrame(rows, "g string, n int, w string, v int")
+    whole, codes = storage.packed(df, "g", "n", ["n", "w", "v"], ["w"])
+    assert {r.g: (r.n, r.w, r.n_rows) for r in whole.collect()} == {"a": ([1, 2], [-1, 0], 2), "b": ([1, 2], [1, 0], 2)}
+    back = storage.unpacked(whole, codes, "g", ["n", "w", "v"], ["w"]).drop("place").select(*df.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(Exception, match="another length"):
+        storage.unpacked(whole.withColumn("v", F.slice("v", 1, 1)), codes, "g", ["w", "v"], ["w"]).collect()
+
+
+def test_states_of_books(spark):
+    listed = spark.createDataFrame([(b, b != "e") for b in "abcdef"], "book_id string, recall_verified boolean")
+    held = spark.createDataFrame([("a", "OK", True, "complete"), ("b", "OK", True, "partial"), ("c", "WARN", True, "partial"), ("d", "OK", False, "complete"), ("e", "OK", True, "unknown"), ("x", "OK", True, "complete")], "book_id string, coverage string, indexed boolean, volumes string")
+    got = {r.book_id: (r.status, r.catalog_gap) for r in catalog.reconciled(listed, held).collect()}
+    assert got == {b: (s, False) for b, s in zip("abcdef", catalog.STATES[:4] + catalog.STATES[4:])} | {"x": ("imported", True)}
