@@ -224,3 +224,12 @@ def E25_evidence_audit(spark, sf):
 def E29_evidence_order(spark, sf):
     pool = V.subject_pool(table(spark, sf, "documents"), PLAN, "doc_id", "text")
     return V.evidence_order(V.audited(pool, PLAN, "doc_id", "text"), "doc_id").limit(20)
+
+
+@query("""WITH u AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？!?.\\n]')) AS s FROM documents WHERE regexp_matches(text, 'rein|ung')),
+m AS (SELECT doc_id, s, i + length(f) AS e FROM (SELECT doc_id, s, f, unnest(generate_series(1, length(s) - length(f) + 1)) AS i FROM u, (VALUES ('rein'), ('ung')) v(f) WHERE contains(s, f)) WHERE substr(s, CAST(i AS INT), length(f)) = f),
+g AS (SELECT doc_id, least(nullif(position('ver' IN w), 0), nullif(position('tion' IN w), 0)) - 1 AS gap FROM (SELECT doc_id, substr(s, CAST(e AS INT), 24) AS w FROM m))
+SELECT d.doc_id, min(gap) AS gap, contains(any_value(text), 'au') AS clue FROM documents d LEFT JOIN g USING (doc_id) WHERE regexp_matches(text, 'rein|ung') GROUP BY 1""")
+def E04_relation_gaps(spark, sf):
+    found = V.audited(V.subject_pool(table(spark, sf, "documents"), PLAN, "doc_id", "text"), PLAN, "doc_id", "text")
+    return found.select("doc_id", F.col("gap").cast("long").alias("gap"), (F.size("clues") > 0).alias("clue"))

@@ -181,7 +181,9 @@ def N09_term_tiers(spark, sf):
     return names.groupBy(F.col("short").alias("term")).agg(F.when(F.countDistinct("name") > 1, "weak").otherwise("alias").alias("role"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PASSAGES}, h AS (SELECT file_id, row_no FROM passages WHERE contains(text_orig, 'ver')), b AS (SELECT file_id, min(row_no) AS first, 1 AS batch FROM h GROUP BY 1
+UNION ALL SELECT file_id, nxt, batch + 1 FROM (SELECT file_id, batch, (SELECT min(row_no) FROM h WHERE h.file_id = b.file_id AND h.row_no > b.first + 3) AS nxt FROM b) WHERE nxt IS NOT NULL)
+SELECT h.file_id, h.row_no, max(batch) AS batch FROM h JOIN b ON h.file_id = b.file_id AND b.first <= h.row_no GROUP BY ALL""")
 def N14_hit_clusters(spark, sf):
     p = passages(spark, sf)
     return K.clusters(p.where(F.col("text_orig").contains("ver")), "file_id", "row_no", 3)

@@ -95,7 +95,12 @@ def W10_windows(spark, sf):
     return Q.windows(table(spark, sf, "documents"), ["doc_id"], "text", 240, 40)
 
 
-@query()
+_END = "CASE WHEN {s} + 240 >= length(text) THEN length(text) WHEN regexp_matches(substr(text, CAST({s} + 121 AS INT), 120), '[。！？；.!?;\\n]') THEN {s} + 120 + length(regexp_extract(substr(text, CAST({s} + 121 AS INT), 120), '(?s)^(.*[。！？；.!?;\\n])', 1)) ELSE {s} + 240 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS n, 0 AS start, CAST({_END.format(s='0')} AS INT) AS stop FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, text, n + 1, nxt, CAST({_END.format(s='nxt')} AS INT) FROM (SELECT doc_id, text, n, greatest(stop - 40, start + 1) AS nxt FROM c WHERE stop < length(text)))
+SELECT doc_id, n, start, stop AS "end", substr(text, start + 1, stop - start) AS chunk FROM c""")
 def C02_chunks(spark, sf):
     return Q.chunks(table(spark, sf, "documents"), "doc_id", "text")
 
