@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import DIGITS, UNITS
+from lectern.functions.text import DIGITS, EDGE, UNITS
 
-RECORD = "file_id long, seq int, row_no int, kind string, layer string, section string, text_orig string, char_start int, char_end int, page string"
+RECORD = "file_id long, seq int, row_no int, kind string, layer string, section string, text_orig string, char_start int, char_end int, page string, juan int, status string, normalized_text string"
 
 
 def split_header(raw: Column) -> Column:
@@ -73,14 +73,20 @@ def brackets(text: str) -> list[tuple[int, int, bool]]:
     return pieces or [(0, len(text), False)]
 
 
+def bare(text: str) -> str | None:
+    """Without markers and outer white space, as functions.text.normalize has it; null if nothing is left."""
+    return _PAGE.sub("", text).replace("¶", "").strip(EDGE) or None
+
+
 def segment(text: str) -> Iterator[tuple]:
-    """Records of a file's body in order: seq, row, kind, layer, section, text, char_start, char_end, page.
+    """Records of a file's body in order: seq, row, kind, layer, section, text, char_start, char_end, page, juan, status, normalized text.
 
     A line is a page (only markers or blank), a comment (#), a part line (#+), a heading (* ...) or a passage; neighbouring comment lines are one
     record. A part line sets the layer, a heading the section, until the next one. Texts joined by line breaks, and by nothing within a
-    line, are the body.
+    line, are the body. A part line with a JUAN (`#+PROPERTY: JUAN 三`) sets the volume. A passage whose brackets are unbalanced or nested is pending, all else
+    confirmed; the normalized text is null where nothing is left of it.
     """
-    layer, section, page, seq = "main", None, None, 0
+    layer, section, page, juan, seq = "main", None, None, None, 0
     lines = text.split("\n")
     i = 0
     while i < len(lines):
@@ -92,12 +98,14 @@ def segment(text: str) -> Iterator[tuple]:
             while j < len(lines) and lines[j].startswith("#") and not lines[j].startswith("#+"):
                 j += 1
             joined = "\n".join(lines[i:j])
-            yield seq, i + 1, "comment", layer, section, joined, 0, len(joined), page
+            yield seq, i + 1, "comment", layer, section, joined, 0, len(joined), page, juan, "confirmed", bare(joined)
             seq, i = seq + 1, j
             continue
         if line.startswith("#+"):
             m = re.match(r"#\+PART:\s*(\w+)", line)
             layer, section = (m[1], None) if m else (layer, section)
+            if v := re.match(r"#\+(?:PROPERTY:\s*)?JUAN:?\s+(\S+)", line):
+                juan = number(v[1])
             rows = [("part", 0, len(line), layer)]
         elif m := re.match(r"\*+\s+(.*)", line):
             section = re.sub(r"\s+", " ", _PAGE.sub("", m[1]).replace("¶", "")).strip()
@@ -106,8 +114,9 @@ def segment(text: str) -> Iterator[tuple]:
             rows = [("page", 0, len(line), layer)]
         else:
             rows = [("passage", s, e, "commentary_candidate" if b else layer) for s, e, b in brackets(line)]
+        open_ = rows[0][0] == "passage" and len(rows) == 1 and any(c in "()（）" for c in line) and brackets(line) == [(0, len(line), False)]
         for kind, s, e, own in rows:
-            yield seq, i + 1, kind, own, section, line[s:e], s, e, page
+            yield seq, i + 1, kind, own, section, line[s:e], s, e, page, juan, "pending" if open_ else "confirmed", bare(line[s:e])
             seq += 1
         i += 1
 

@@ -87,3 +87,17 @@ def test_chunks_cover_the_text(spark):
         assert (not text and not parts) or (parts[0][0] == 0 and parts[-1][1] == len(text))
         assert all(b[0] <= a[1] for a, b in zip(parts, parts[1:])) and all(a[0] < b[0] for a, b in zip(parts, parts[1:]))
     assert Q.chunks(spark.createDataFrame([(1, None), (2, "")], "k int, t string"), "k", "t").count() == 0
+
+
+def test_volume_status_and_normalized_text():
+    text = "#+PROPERTY: JUAN 十二\n* 甲\n　文(註)¶\n(甲(乙))\n(甲\n<pb:x>¶\n#+JUAN: 3\n尾 "
+    got = [(r[2], r[9], r[10], r[11]) for r in markup.segment(text)]
+    assert got == [
+        ("part", 12, "confirmed", "#+PROPERTY: JUAN 十二"), ("heading", 12, "confirmed", "* 甲"), ("passage", 12, "confirmed", "文"), ("passage", 12, "confirmed", "(註)"), ("passage", 12, "pending", "(甲(乙))"),
+        ("passage", 12, "pending", "(甲"), ("page", 12, "confirmed", None), ("part", 3, "confirmed", "#+JUAN: 3"), ("passage", 3, "confirmed", "尾"),
+    ]
+
+
+def test_volumes_of_some_lines_only(spark):
+    df = spark.createDataFrame([(1, "a\n#+JUAN: 3\nb"), (2, None)], "file_id long, text string")
+    assert sorted((r.file_id, r.row_no, r.juan) for r in markup.parse(df).collect()) == [(1, 1, None), (1, 2, 3), (1, 3, 3), (2, 1, None)]
