@@ -41,6 +41,8 @@ MARKS = frozenset(
 )
 LINK_MARKS = frozenset("menu nav navbar navigation social share sharing related recommended recommendations responses rail widget toolbar pagination pager".split())
 ARTICLE_MARKS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
+#: Those that also mark a part of a line.
+INLINE_MARKS = frozenset("ad ads advert advertisement sponsored".split())
 #: Words that may follow the head of a name, and first words by which a name speaks of something else.
 TAILS = frozenset(
     "list lists box boxes wrapper wrap container section area block left right top bottom link links slot unit item items inner outer bar panel form widget content contents body text holder "
@@ -57,7 +59,7 @@ _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)"
 def heads(names: str) -> set[str]:
     """The head of each of the names: its last word before words of mere arrangement."""
     out = set()
-    for name in names.lower().split():
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
         while len(parts) > 1 and parts[-1] in TAILS:
             parts.pop()
@@ -185,7 +187,7 @@ class Page:
                     attrs.setdefault(k.lower(), a or b or c)
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
             if name in INLINE or name in UNREAD:
-                inline = name in INLINE and not MARKS.isdisjoint(heads(attrs.get("class", "")))
+                inline = name in INLINE and "class" in attrs and not INLINE_MARKS.isdisjoint(heads(attrs["class"]))
                 if unread is None and (hidden or name in UNREAD or inline):
                     unread = (name, 1, len(names))
                 continue

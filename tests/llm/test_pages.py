@@ -24,6 +24,7 @@ def test_names_count_by_their_heads():
     keep = ["<div class='share-price'><p>Shares rose</p></div>", "<div class='content rail-news'>by rail</div>", "<ul class='menu'><li>Soup<li>Bread</ul>", "<div class='has-sidebar'><p>wide</p></div>"]
     drop = ["<div class='cookie-notice'>c</div>", "<div id='ad-slot-7'>a</div>", "<ul class='menu'><li><a href='/'>Home</a></ul>", "<div class=comments><p>first!</p></div>", "<nav>n</nav>", "<p hidden>h</p>", "<div style='display: none'>d</div>", "<form>f</form>", "<b class='ad'>b</b>"]
     assert text("<article><p>start</p>" + "".join(x + "<p>text</p>" for x in keep + drop) + "</article>") == "\n".join(["start", "Shares rose", "text", "by rail", "text", "Soup", "Bread", "text", "wide", *["text"] * (len(drop) + 1)])
+    assert text("<article><p>a <em class='alert'>loud</em> word</p><div class='commentList'>c</div><p>b</p></article>") == "a loud word\nb"
     # a layout that is named after its sidebar
     assert text("<div class='page sidebar'><article><p>a long text of the page</p></article></div><p>x</p>") == "a long text of the page"
 
