@@ -209,12 +209,16 @@ def E27_grounded_prefix(spark, sf):
     return spark.createDataFrame([V.grounded_prefix(table(spark, sf, "documents"), "rein!zq", "text")], "head string, rest string")
 
 
-@query("""WITH k AS (SELECT o_custkey AS key, row_number() OVER (ORDER BY max(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY 1 ORDER BY rank LIMIT 30), s AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer ORDER BY rank LIMIT 30),
-v AS (SELECT key, rank, 'orders' AS c FROM k WHERE rank <= 20 UNION ALL SELECT key, rank, 'balance' FROM s WHERE rank <= 20) SELECT key, min(rank) AS best_rank, string_agg(c || ':' || rank, ',' ORDER BY c || ':' || rank) AS votes FROM v GROUP BY 1""")
+CHANNELS = {"alias": "ung", "anchor": "rein", "clue": "au", "context": "and", "event": "er,", "office": "on", "place": "an", "relation": "ver"}
+
+
+@query("WITH t(ch, w) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c, w in CHANNELS.items()) + """), c AS (SELECT doc_id, ch, (length(text) - length(replace(text, w, ''))) / length(w) AS n FROM documents, t WHERE contains(text, w)),
+r AS (SELECT doc_id, ch, row_number() OVER (PARTITION BY ch ORDER BY n DESC, doc_id) AS rank FROM c QUALIFY rank <= 20) SELECT doc_id, min(rank) AS best_rank, string_agg(ch || ':' || rank, ',' ORDER BY ch || ':' || rank) AS votes FROM r GROUP BY 1""")
 def E29_admission(spark, sf):
-    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("s")).orderBy(F.desc("s"), "key").limit(30)
-    balance = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("s")).orderBy(F.desc("s"), "key").limit(30)
-    return V.admitted({n: D.ranked(f, [F.desc("s"), F.col("key")]) for n, f in (("orders", orders), ("balance", balance))}, "key")
+    """Eight channels over one scan, each with its own order and quota; Spark keeps a channel's first rows before the shuffle."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), (F.length("text") - F.length(F.replace("text", F.lit(w), F.lit("")))).alias("n")) for c, w in CHANNELS.items()))).alias("x")
+    rows = table(spark, sf, "documents").select("doc_id", each).select("doc_id", "x.*").where("n > 0")
+    return Q.quotas(rows, "doc_id", "channel", [F.desc("n"), F.col("doc_id")], 20)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
