@@ -48,8 +48,13 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
             hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, run, repeat(SEED)), dtype=np.uint64, count=len(run)))
             n += len(run)
         counts.append(n)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if not hashes:
+    return majorities(hashes, counts)
+
+
+def majorities(hashes: list[np.ndarray], counts: list[int]) -> np.ndarray:
+    """The bits that are set in over half of each text's hashes; counts: how many of the hashes, in order, are each text's."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    if not sum(counts):
         return out
     h, n = np.concatenate(hashes), np.array(counts)
     full = np.flatnonzero(n)

@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of ordered five-word shingles have a Jaccard similarity of 0.8 or more, none left out.
 
-SimHash cannot serve here: 64 bits of two texts at 0.8 differ in about ten, and no set of positional bytes is then sure to be equal. So this
-is a set join with prefixes. All shingles have one order, those frequent in a sample of documents last, the others by hash. Of two sets of which
+The sets are fingerprinted by SimHash, and the inverted index over byte positions with its count filter (simhash.py) proposes pairs of equal and of linked
+fingerprints. Those whose whole sets are similar enough are links. They are not all: 64 bits of two texts at 0.8 differ in about ten, and no positional byte
+is then sure to be equal. So an exact check follows that finds what fingerprints cannot, a set join with prefixes among texts that are not linked yet.
+All shingles have one order, those frequent in a sample of documents last, the others by hash. Of two sets of which
 one shares ceil(0.8 n) of its n members with the other, the first n - ceil(0.8 n) + 1 of both hold a common one; so each text is listed
 under the first of its shingles only, and texts under one shingle are candidates if their sizes allow 0.8. The order does not change what is found.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import ROW_KEY, as_bytes, keyed, scanned, shingles, shuffle_parts, slices, stored, without
 from lectern.llm.graph import components
-from lectern.llm.simhash import settled
+from lectern.llm.simhash import links, majorities, settled
 
 SHINGLE, SEED = 5, 42
 #: Least similarity, as a fraction.
@@ -195,6 +197,22 @@ def _more_pairs(turn: int):
     return work
 
 
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of sets with equal fingerprints or with fingerprints that the index links. nodes: fp and print."""
+    reps = stored(nodes.groupBy("print").agg(F.min("fp").alias("rep")))
+    equal = nodes.join(reps, "print").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    near = links(reps, "print")
+    near = near.join(reps.select(F.col("print").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("print").alias("b"), F.col("rep").alias("y")), "b")
+    return equal.union(near.select("x", "y")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b that are in different components."""
+    for k in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"of_{k}")), k, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are similar enough. nodes: fp and its first row; docs: ROW_KEY and text."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -228,16 +246,19 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
             for batch in slices(whole, 3):
                 own = [hashes(x) for x in as_bytes(batch.column(3))]
                 keys = [prefix(x, *shared.value).view(np.int64) for x in own]
-                cols = [pa.array([name(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(sketch, own), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=[*ROW_KEY, "id", "fp", "size", "keys", "sketch"])
+                sizes = [len(x) for x in own]
+                cols = [pa.array([name(x) for x in own], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(sketch, own), pa.binary()), pa.array(majorities(own, sizes).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=[*ROW_KEY, "id", "fp", "size", "keys", "sketch", "print"])
 
-    rows = stored(docs.mapInArrow(run, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, fp long, size long, keys array<long>, sketch binary"))
+    rows = stored(docs.mapInArrow(run, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, fp long, size long, keys array<long>, sketch binary, print long"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
-    nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.max("sketch").alias("sketch")))  # one sketch for each set
+    nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.max("sketch").alias("sketch"), F.max("print").alias("print")))  # one sketch and fingerprint for each set
+    roots = stored(components(stored(_verified(stored(_proposed(nodes)), nodes, docs))))
     listed = rows.join(nodes.select(*(F.col("first")[k].alias(k) for k in ROW_KEY)), [*ROW_KEY], "left_semi").select(F.explode("keys").alias("key"), "fp", "size")
     met = stored(_lists(listed, "key long, a long, b long, size long", partial(_first_pairs, short=short)))
-    pairs = stored(met.where("b is not null").select("a", "b").distinct())
-    roots = stored(components(stored(_verified(pairs, nodes, docs))))
+    pairs = stored(_apart(met.where("b is not null").select("a", "b").distinct(), roots))
+    links_ = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
+    roots = stored(components(stored(links_.union(_verified(pairs, nodes, docs)))))
     long = stored(met.where("b is null").select("key", F.col("a").alias("fp"), "size").join(nodes.select("fp", "sketch"), "fp"))
     turn = 0
     while True:
@@ -250,7 +271,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
             roots = stored(components(stored(links.union(_verified(pairs, nodes, docs)))))
         turn += 1
-    return settled(rows.select(*ROW_KEY, "id", "fp"), nodes.drop("sketch"), roots)
+    return settled(rows.select(*ROW_KEY, "id", "fp"), nodes.select("fp", "first"), roots)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

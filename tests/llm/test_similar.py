@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from lectern.llm import similar
 from lectern.llm.common import stored
+from lectern.llm.simhash import majorities
 from tests.llm.test_operators import classes
 
 
@@ -51,3 +52,25 @@ def test_near_copies_are_those_of_all_pairs(spark, short):
 
 def test_no_rows(spark):
     assert similar.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_propose_pairs_first(spark, monkeypatch):
+    """Pairs that the index over byte positions links are verified on whole sets before any other; those beyond it are found all the same."""
+    seen, verified = [], similar._verified
+
+    def spy(pairs, nodes, docs):
+        seen.append({frozenset(r) for r in pairs.collect()})
+        return verified(pairs, nodes, docs)
+
+    monkeypatch.setattr(similar, "_verified", spy)
+    own = dict(enumerate(texts()))
+    rows = similar.near_groups(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    sets = {r.fp: similar.hashes((own[r.id] or "").encode()) for r in rows}
+    prints = {fp: int(majorities([x], [len(x)])[0]) for fp, x in sets.items()}
+    assert prints == {fp: sum((2 * sum(int(h) >> b & 1 for h in x) > len(x)) << b for b in range(64)) for fp, x in sets.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    root = classes(set(prints), near)
+    proposed = classes(set(prints), [tuple(x) for x in seen[0]])
+    assert root == proposed and 0 < len(seen[0]) < len(near) + 1
+    linked = classes(set(prints), [tuple(x) for x in seen[0] if alike(*(set(sets[fp].tolist()) for fp in x))])
+    assert all(linked[a] != linked[b] for a, b in map(tuple, set().union(*seen[1:])))
