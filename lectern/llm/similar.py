@@ -7,9 +7,11 @@ All shingles have one order, those frequent in a sample of documents last, the o
 one shares ceil(0.8 n) of its n members with the other, the first n - ceil(0.8 n) + 1 of both hold a common one; so each text is listed
 under the first of its shingles only, and texts under one shingle are candidates if their sizes allow 0.8. The order does not change what is found.
 
-Texts with equal sets count once. Lists of up to SHORT texts give all their pairs. In a longer one the first text meets the others, then the next MORE
-meet those that are not yet in their components, then the next MORE * MORE, until the list is one component or all its pairs have met; so a
-large group of near copies costs a few links for each of its texts. There, sketches of the sets rule most dissimilar pairs out before they leave the task, and none else. Candidates are verified on the whole sets, and components are found on tables.
+Texts with equal sets count once. Lists of up to SHORT texts give all their pairs. In a longer one that is not one component yet the texts of different components meet in
+the task, where sketches of the sets rule nearly all dissimilar pairs out, and none else. Of the others a spanning forest leaves the task, the likeliest
+pair wherever it joins two components, then forests by other pairs as long as they turn out to be links. At last all pairs that sketches leave between
+components are verified, so no link is lost, and a group of near copies costs a few pairs for each of its texts and list.
+Candidates are verified on the whole sets, and components are found on tables.
 
 Shingles and sets are known by 64-bit hashes. Null text counts as empty; texts without words are near copies of each other. Null ids come after
 all others. Repeated rows are rows of their own. An empty table gives none.
@@ -38,10 +40,8 @@ OVER, UNDER = 4, 5
 SAMPLE, OFTEN, FREQUENT = 32_768, 3, 65_536
 #: Texts in a list that meet pair by pair.
 SHORT = 8
-#: How many times as many texts of a longer list meet the others in each turn.
-MORE = 16
-#: Cells of the sketches that tell most texts of a list apart without their sets.
-MOST_CELLS = 8_192
+#: Cells of a sketch for each member of its set, at least, and cells at most.
+CELLS, MOST_CELLS = 4, 16_384
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -74,9 +74,9 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Whether an odd number of the set's members falls into each of a power of two of cells, as many as it has members at least. The cells in which two sketches
-    differ are no more than the members that only one of the sets has."""
-    cells = min(max(64, 1 << max(0, len(own) - 1).bit_length()), MOST_CELLS)
+    """Whether an odd number of the set's members falls into each of a power of two of cells, CELLS for each member at least. The cells in which two sketches
+    differ are no more than the members that only one of the sets has, and hardly fewer."""
+    cells = min(max(64, CELLS << max(0, len(own) - 1).bit_length()), MOST_CELLS)
     odd = np.bincount((own >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -89,16 +89,28 @@ def _halved(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def may_be_alike(one: np.ndarray, size: int, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """False for sets whose sketches show that they cannot be similar enough."""
-    out = np.ones(len(others), dtype=bool)
-    length = np.array([len(x) for x in others])
-    for n in np.unique(length):
-        at = np.flatnonzero(length == n)
-        words = min(int(n), len(one))
-        apart = np.bitwise_count(_halved(np.stack([others[i] for i in at]), words) ^ _halved(one[None], words)).sum(axis=1, dtype=np.int64)
-        out[at] = (UNDER + OVER) * apart <= (UNDER - OVER) * (sizes[at] + size)
-    return out
+class Sketches:
+    """The sketches of a list's texts, by length."""
+
+    def __init__(self, sketches: np.ndarray, sizes: np.ndarray):
+        words = [np.frombuffer(x, dtype=np.uint64) for x in sketches]
+        self.sizes, self.length, self.place, self.rows = sizes, np.array([len(x) for x in words]), np.zeros(len(words), dtype=np.int64), {}
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(n)] = np.stack([words[i] for i in at])
+
+    def room(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How far texts are from what their sketches rule out; below zero their sets cannot be similar enough."""
+        out = np.zeros(len(others), dtype=np.int64)
+        own = self.rows[int(self.length[one])][self.place[one]][None]
+        length = self.length[others]
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            words = min(int(n), own.shape[1])
+            apart = np.bitwise_count(_halved(self.rows[int(n)][self.place[others[at]]], words) ^ _halved(own, words)).sum(axis=1, dtype=np.int64)
+            out[at] = (UNDER - OVER) * (self.sizes[others[at]] + self.sizes[one]) - (UNDER + OVER) * apart
+        return out
 
 
 def fits(x, y) -> np.ndarray:
@@ -170,31 +182,28 @@ def _first_pairs(cols: list[np.ndarray], starts: np.ndarray, short: int) -> pa.R
     return pa.RecordBatch.from_arrays(out, names=["key", "a", "b", "size"])
 
 
-def turn_start(turn: int) -> int:
-    """The first text of a list that meets the others in a turn: the turns have 1, MORE, MORE * MORE ... texts."""
-    return (MORE**turn - 1) // (MORE - 1)
-
-
-def _more_pairs(turn: int):
-    first, last = turn_start(turn), turn_start(turn + 1)
-
-    def work(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        _, nodes, sizes, roots, sketches = cols
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for s, e in zip(starts, np.r_[starts[1:], len(nodes)]):
-            if (roots[s:e] == roots[s]).all():
-                continue
-            words = [np.frombuffer(x, dtype=np.uint64) for x in sketches[s:e]]
-            for c in range(s + first, min(s + last, e - 1)):
-                ok = c + 1 + np.flatnonzero(fits(sizes[c + 1 : e], sizes[c]) & (roots[c + 1 : e] != roots[c]))
-                if len(ok):
-                    ok = ok[may_be_alike(words[c - s], sizes[c], [words[i - s] for i in ok], sizes[ok])]
-                b.append(nodes[ok])
-                a.append(np.full(len(b[-1]), nodes[c]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    return work
+def _more_pairs(cols: list[np.ndarray], starts: np.ndarray, forest: int | None) -> pa.RecordBatch:
+    """Pairs a, b of different components (roots) in lists that may be similar enough: all, or a forest of them, the likeliest in forest 0 and any in the others."""
+    keys, nodes, sizes, roots, sketches = cols
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for s, e in zip(starts, np.r_[starts[1:], len(nodes)]):
+        at = np.random.default_rng([forest, int(keys[s]) & 0xFFFFFFFF]).permutation(np.arange(s, e)) if forest else np.arange(s, e)
+        part = np.unique(roots[at], return_inverse=True)[1]
+        own, n, drawn = nodes[at], sizes[at], Sketches(sketches[at], sizes[at])
+        for c in range(len(own) - 1):
+            ok = c + 1 + np.flatnonzero(fits(n[c + 1 :], n[c]) & (part[c + 1 :] != part[c]))
+            room = drawn.room(c, ok)
+            ok, room = ok[room >= 0], room[room >= 0]
+            if forest is not None and len(ok):
+                if not forest:
+                    ok = ok[np.argsort(-room, kind="stable")]
+                joined, first = np.unique(part[ok], return_index=True)
+                ok = ok[first]
+                part[np.isin(part, joined)] = part[c]
+            b.append(own[ok])
+            a.append(np.full(len(ok), own[c]))
+    pairs = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def _proposed(nodes: DataFrame) -> DataFrame:
@@ -254,23 +263,32 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
     nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.max("sketch").alias("sketch"), F.max("print").alias("print")))  # one sketch and fingerprint for each set
     roots = stored(components(stored(_verified(stored(_proposed(nodes)), nodes, docs))))
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """Components with those pairs that are similar enough, if there are any."""
+        if pairs.isEmpty() or (new := stored(_verified(pairs, nodes, docs))).isEmpty():
+            return None
+        held = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
+        return stored(components(stored(held.union(new))))
+
     listed = rows.join(nodes.select(*(F.col("first")[k].alias(k) for k in ROW_KEY)), [*ROW_KEY], "left_semi").select(F.explode("keys").alias("key"), "fp", "size")
     met = stored(_lists(listed, "key long, a long, b long, size long", partial(_first_pairs, short=short)))
-    pairs = stored(_apart(met.where("b is not null").select("a", "b").distinct(), roots))
-    links_ = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
-    roots = stored(components(stored(links_.union(_verified(pairs, nodes, docs)))))
-    long = stored(met.where("b is null").select("key", F.col("a").alias("fp"), "size").join(nodes.select("fp", "sketch"), "fp"))
-    turn = 0
+    more = linked(stored(_apart(met.where("b is not null").select("a", "b").distinct(), roots)))
+    roots = roots if more is None else more
+    long = met.where("b is null").select("key", F.col("a").alias("fp"), "size")
+    forest = 0
     while True:
-        rooted = long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"), "sketch")
-        open_ = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        if turn_start(turn) > (open_.agg(F.max("n")).first()[0] or 0) - 2:
+        rooted = long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+        open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        rooted = rooted.join(open_, "key", "left_semi").join(nodes.select("fp", "sketch"), "fp").select("key", "fp", "size", "root", "sketch")
+        pairs = stored(_lists(rooted, "a long, b long", partial(_more_pairs, forest=forest)).distinct())
+        if pairs.isEmpty():
+            break
+        more = linked(pairs)
+        roots = roots if more is None else more
+        if forest is None:
             break
-        pairs = stored(_lists(rooted, "a long, b long", _more_pairs(turn)).distinct())
-        if not pairs.isEmpty():
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
-            roots = stored(components(stored(links.union(_verified(pairs, nodes, docs)))))
-        turn += 1
+        forest = forest + 1 if more is not None or not forest else None
     return settled(rows.select(*ROW_KEY, "id", "fp"), nodes.select("fp", "first"), roots)
 
 

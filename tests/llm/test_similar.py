@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -74,3 +75,47 @@ def test_fingerprints_propose_pairs_first(spark, monkeypatch):
     assert root == proposed and 0 < len(seen[0]) < len(near) + 1
     linked = classes(set(prints), [tuple(x) for x in seen[0] if alike(*(set(sets[fp].tolist()) for fp in x))])
     assert all(linked[a] != linked[b] for a, b in map(tuple, set().union(*seen[1:])))
+
+
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies whose pairs are near the least similarity, on both sides of it."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    made, lists = [], similar._lists
+
+    def spy(rows, columns, work):
+        out = stored(lists(rows, columns, work))
+        made.append(out.count() if columns == "a long, b long" else 0)
+        return out
+
+    def group(size):
+        out = []
+        for i in range(size):
+            words = list(base)
+            for at in rng.sample(range(100, 150), 4):
+                words[at] = f"x{i}-{at}"
+            out.append((i, " ".join(words)))
+        return out
+
+    monkeypatch.setattr(similar, "_lists", spy)
+    counts = []
+    for size in (60, 240):
+        made.clear()
+        rows = group(size)
+        sets = {i: shingle_set(t) for i, t in rows}
+        want = classes(set(sets), [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+        got = {r.id: r.component_id for r in similar.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
+        counts.append(sum(made))
+    assert counts[1] <= 8 * max(counts[0], 60)
+
+
+def test_sketches_rule_out_what_is_a_little_less_similar():
+    rng = random.Random(12)
+    draw = lambda n: {rng.getrandbits(64) for _ in range(n)}
+    for n in (30, 144, 600):
+        both = draw(n)
+        for part, may in ((0.09, True), (0.16, False)):  # similarity 0.83 and 0.72
+            sets = [np.array(sorted(both | draw(int(part * n / (1 - part)))), dtype=np.uint64) for _ in range(2)]
+            sketches = similar.Sketches([similar.sketch(x) for x in sets], np.array([len(x) for x in sets]))
+            assert (sketches.room(0, np.array([1]))[0] >= 0) == may == similar.alike(*sets)
