@@ -2,9 +2,9 @@
 
 A notice's words may differ from its template's in a fifth of the template's words at most. So each template gets anchors, more of its rarer
 words than may differ, and a notice holds at least one of them: stretches around anchors are the candidate blocks, and none is missed.
-In a block, each template is aligned word by word wherever enough of its words lie within its length, however long the block is. Of those whose
-differing words are few enough the one with the smallest part wins, the first of equal places; at a tie, the text around it is compressed alone and with each template as a raw
-zstandard dictionary, and the template that shortens it most wins. The saving only ranks: it rules no template out. The rest of the block, before and after the notice, is searched again. Numbers are equal to any others (versions and years), case and punctuation do
+In a block, the stretches where enough of a template's words lie within its length are compressed alone and with each such template as a raw zstandard
+dictionary, and the templates are ranked by how much they shorten the stretch. In that order they are aligned with it word by word, and the first whose
+differing words are few enough wins, in the first of its best places; of templates that shorten it equally the one with the smallest part of differing words. The saving only ranks: it rules no template out. The rest, before and after the notice, is searched again. Numbers are equal to any others (versions and years), case and punctuation do
 not matter.
 
 Null or empty texts hold no notices. Repeated rows give their notices each. Empty tables give an empty result; other columns are not read.
@@ -120,29 +120,27 @@ class Templates:
         np.add.at(edges, ok + width, -1)
         return np.cumsum(edges[:n]) > 0
 
-    def best(self, words: list[bytes], ids: np.ndarray) -> tuple | None:
-        """The notice with the smallest part of differing words: (template, saved part, (first word, end, words that differ))."""
-        found = []
-        for i, want in enumerate(self.words):
-            hits = []
-            for lo, hi in runs(self.covered(i, ids)):
-                if hit := self.aligned(i, words[lo:hi]):
-                    hits.append((hit[0] + lo, hit[1] + lo, hit[2]))
+    def ranked(self, words: list[bytes], among: list[int]) -> list[tuple[float, int]]:
+        """Templates by the part of the stretch's compressed size that they save, best first; at the same size the longer template."""
+        block = b" ".join(words)
+        size = len(self.alone.compress(block))
+        saved = [(1 - len(self.with_template[i].compress(block)) / size, len(self.words[i]), -i) for i in among]
+        return [(x, -i) for x, _, i in sorted(saved, reverse=True)]
+
+    def best(self, words: list[bytes], places: dict[int, list[tuple[int, int]]]) -> tuple | None:
+        """The notice of the first template by rank that is confirmed at its places, of equal ranks that with the smallest part of differing words:
+        (template, saved part, (first word, end, words that differ))."""
+        found = None
+        for saved, i in self.ranked(words, list(places)):
+            if found and saved < found[1]:
+                break
+            hits = [(hit[0] + lo, hit[1] + lo, hit[2]) for lo, hi in places[i] if (hit := self.aligned(i, words[lo:hi]))]
             if hits:
                 hit = min(hits, key=lambda h: len(h[2]))
-                found.append((len(hit[2]) / len(want), i, hit))
-        ranks = []
-        for part, i, (lo, hi, differing) in found:
-            if part == min(x[0] for x in found):
-                whole = len(words) <= 2 * self.longest
-                around = words if whole else words[max(0, lo - self.longest // 2) : hi + self.longest // 2]
-                block = b" ".join(around)
-                saved = 1 - len(self.with_template[i].compress(block)) / len(self.alone.compress(block))
-                ranks.append((-saved, -len(self.words[i]), i, (lo, hi, differing)))
-        if not ranks:
-            return None
-        saved, _, i, hit = min(ranks, key=lambda x: x[:3])
-        return i, -saved, hit
+                part = len(hit[2]) / len(self.words[i])
+                if found is None or part < found[0]:
+                    found = part, saved, i, hit
+        return found and (found[2], found[1], found[3])
 
     def find(self, words: list[bytes], start: int = 0) -> list[tuple]:
         """Notices in a block: (first word, number of words, template, saved part, template's words that differ), in order.
@@ -170,14 +168,19 @@ class Templates:
         return runs(inside)
 
     def notices(self, words: list[bytes], ids: np.ndarray) -> list[tuple]:
-        """find() of a short block: the best notice, then the best ones before and after it, and so on."""
+        """find() of a short block: of each stretch the best notice, then the best ones before and after it, and so on."""
         out, todo = [], [(0, len(words))]
         while todo:
             lo, hi = todo.pop()
-            if lo < hi and (one := self.best(words[lo:hi], ids[lo:hi])):
-                i, saved, (first, end, differing) = one
-                out.append((lo + first, end - first, i, saved, differing))
-                todo += [(lo, lo + first), (lo + end, hi)]
+            if lo == hi:
+                continue
+            covers = {i: cover for i in range(len(self.words)) if (cover := self.covered(i, ids[lo:hi])).any()}
+            for s, e in runs(np.logical_or.reduce([*covers.values(), np.zeros(hi - lo, dtype=bool)])):
+                s, e = lo + s, lo + e
+                if one := self.best(words[s:e], {i: places for i, cover in covers.items() if (places := runs(cover[s - lo : e - lo]))}):
+                    i, saved, (first, end, differing) = one
+                    out.append((s + first, end - first, i, saved, differing))
+                    todo += [(s, s + first), (s + end, e)]
         return sorted(out, key=lambda x: x[0])
 
     def aligned(self, i: int, words: list[bytes]) -> tuple[int, int, list[bytes]] | None:
