@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.storage import shared_dir, stored  # noqa: F401
+from lectern.sources.storage import scratch, shared_dir, stored  # noqa: F401
 
 #: Columns that name a row of the input: a hash of its file's path and its place in that file.
 ROW_KEY = ("__source_file", "__source_row")
 #: Texts that Python workers take from Arrow at a time, so that a batch of long texts still fits.
 BATCH_BYTES = 16 << 20
+#: Rows of a narrow table up to which it is broadcast, so that the table of texts that it meets is not shuffled.
+FEW = 500_000
 
 
 def scanned(df: DataFrame) -> DataFrame:
@@ -46,6 +48,12 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     return left.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df stored, and broadcast in joins if it has FEW rows at most. Its size is known before the other side of a join runs, which may then stay where it is."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

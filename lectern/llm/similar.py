@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ROW_KEY, as_bytes, keyed, scanned, shingles, shuffle_parts, slices, stored, without
+from lectern.llm.common import ROW_KEY, as_bytes, few, keyed, scanned, scratch, shingles, shuffle_parts, slices, stored, without
 from lectern.llm.graph import components
 from lectern.llm.simhash import links, majorities, settled
 
@@ -222,10 +222,30 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b that sizes and sketches do not rule out, so that no sets are made of the others' texts. nodes: fp, size and sketch."""
+    for k in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sketches = np.stack([batch.column(i).to_numpy() for i in (2, 3)], axis=1), zip(*(batch.column(i).to_pylist() for i in (4, 5)))
+            ok = [Sketches(two, n).room(0, np.array([1]))[0] >= 0 for two, n in zip(sketches, sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar enough. nodes: fp and its first row; docs: ROW_KEY and text."""
+    """The pairs that are similar enough, stored. nodes: fp and its first row; docs: ROW_KEY and text."""
+    with scratch(docs.sparkSession) as lasting:
+        return lasting(_similar(pairs, nodes, docs))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    at = nodes.join(needed, "fp").select("fp", *(F.col("first")[k].alias(k) for k in ROW_KEY))
+    at = few(nodes.join(needed, "fp").select("fp", *(F.col("first")[k].alias(k) for k in ROW_KEY)))
     texts = docs.join(at, [*ROW_KEY]).select("fp", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +266,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short: int = SHORT) -> DataFrame:
     """One row per input row: ROW_KEY, id, fp (the name of its set), component_id, best (true for the row that stays)."""
-    docs = keyed(docs, id=doc_id, text=text)
-    kind = docs.schema["id"].dataType.simpleString()
+    with scratch(docs.sparkSession) as lasting:
+        return lasting(_groups(keyed(docs, id=doc_id, text=text), short))
+
+
+def _listed(docs: DataFrame, kind: str) -> DataFrame:
+    """Per row of docs (ROW_KEY, id, text) its set's name, size, first shingles, sketch and fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,21 +283,30 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
                 cols = [pa.array([name(x) for x in own], pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(sketch, own), pa.binary()), pa.array(majorities(own, sizes).view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=[*ROW_KEY, "id", "fp", "size", "keys", "sketch", "print"])
 
-    rows = stored(docs.mapInArrow(run, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, fp long, size long, keys array<long>, sketch binary, print long"))
+    return docs.mapInArrow(run, f"{ROW_KEY[0]} long, {ROW_KEY[1]} long, id {kind}, fp long, size long, keys array<long>, sketch binary, print long")
+
+
+def _groups(docs: DataFrame, short: int) -> DataFrame:
+    spark = docs.sparkSession
     order = F.struct(F.col("id").isNull().alias("none"), "id", *ROW_KEY)
-    nodes = stored(rows.groupBy("fp").agg(F.min(order).alias("first"), F.max("sketch").alias("sketch"), F.max("print").alias("print")))  # one sketch and fingerprint for each set
-    roots = stored(components(stored(_verified(stored(_proposed(nodes)), nodes, docs))))
+    with scratch(spark) as lasting:
+        whole = stored(_listed(docs, docs.schema["id"].dataType.simpleString()))
+        rows = lasting(whole.select(*ROW_KEY, "id", "fp"))
+        nodes = lasting(whole.groupBy("fp").agg(F.min(order).alias("first"), *(F.max(k).alias(k) for k in ("size", "sketch", "print"))))  # one sketch and fingerprint for each set
+        copies = few(rows.join(nodes.select("fp", "first"), "fp").where(F.struct(*ROW_KEY) != F.struct(*(F.col("first")[k].alias(k) for k in ROW_KEY))).select(*ROW_KEY))
+        listed = whole.select(*ROW_KEY, "keys", "fp", "size").join(copies, [*ROW_KEY], "left_anti").select(F.explode("keys").alias("key"), "fp", "size")
+        met = lasting(_lists(listed, "key long, a long, b long, size long", partial(_first_pairs, short=short)))
+    roots = stored(components(_verified(stored(_proposed(nodes)), nodes, docs)))
 
     def linked(pairs: DataFrame) -> DataFrame | None:
         """Components with those pairs that are similar enough, if there are any."""
-        if pairs.isEmpty() or (new := stored(_verified(pairs, nodes, docs))).isEmpty():
+        if pairs.isEmpty() or (new := _verified(pairs, nodes, docs)).isEmpty():
             return None
         held = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is linked stays so
         return stored(components(stored(held.union(new))))
 
-    listed = rows.join(nodes.select(*(F.col("first")[k].alias(k) for k in ROW_KEY)), [*ROW_KEY], "left_semi").select(F.explode("keys").alias("key"), "fp", "size")
-    met = stored(_lists(listed, "key long, a long, b long, size long", partial(_first_pairs, short=short)))
-    more = linked(stored(_apart(met.where("b is not null").select("a", "b").distinct(), roots)))
+    first = stored(_apart(met.where("b is not null").select("a", "b").distinct(), roots))
+    more = linked(stored(_likely(first, nodes)))
     roots = roots if more is None else more
     long = met.where("b is null").select("key", F.col("a").alias("fp"), "size")
     forest = 0
@@ -289,11 +322,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sho
         if forest is None:
             break
         forest = forest + 1 if more is not None or not forest else None
-    return settled(rows.select(*ROW_KEY, "id", "fp"), nodes.select("fp", "first"), roots)
+    return settled(rows, nodes.select("fp", "first"), roots)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component, that with its smallest id; all columns."""
     docs = scanned(docs)
     gone = near_groups(docs, doc_id, text).where("not best").select(*ROW_KEY)
-    return without(docs, gone)
+    return without(docs, few(gone))

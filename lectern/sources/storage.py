@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,13 +25,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
+#: Paths that the scratch() at work removes.
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+#: With this setting (Spark 4.1) the shuffle files of a query leave the disks when it ends, without it when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: this cuts its lineage and outlives executors."""
     path = path or shared_dir(df.sparkSession)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that stored() writes inside are removed at the end, and shuffle files at the end of each query inside. Gives a stored() for tables that outlast it."""
+    outer, own = _scratch.get(), []
+
+    def lasting(df: DataFrame) -> DataFrame:
+        inner = _scratch.set(outer)
+        try:
+            return stored(df)
+        finally:
+            _scratch.reset(inner)
+
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    token = _scratch.set(own)
+    try:
+        yield lasting
+    finally:
+        _scratch.reset(token)
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, own):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_jsonl(records: DataFrame, path: str, book: str = "book_id") -> None:
     """Records as lines of JSON, a folder for each book; an existing build is replaced."""
     records.write.mode("overwrite").partitionBy(book).json(path)

@@ -1,12 +1,14 @@
 """Near copies against all pairs by brute force."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from lectern.llm import similar
+from lectern.llm import common, similar
 from lectern.llm.common import stored
 from lectern.llm.simhash import majorities
 from tests.llm.test_operators import classes
@@ -119,3 +121,59 @@ def test_sketches_rule_out_what_is_a_little_less_similar():
             sets = [np.array(sorted(both | draw(int(part * n / (1 - part)))), dtype=np.uint64) for _ in range(2)]
             sketches = similar.Sketches([similar.sketch(x) for x in sets], np.array([len(x) for x in sets]))
             assert (sketches.room(0, np.array([1]))[0] >= 0) == may == similar.alike(*sets)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_what_is_used_up_leaves_the_disks(spark, monkeypatch):
+    """Of near_groups only its result stays in the shared folder, sets go once their pairs are checked, and shuffle files go with their query."""
+    folder, setting = Path(spark.conf.get("spark.checkpoint.dir")), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = stored(spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string"))
+    grown, verified = [], similar._verified
+
+    def spy(*args):
+        tables = set(folder.iterdir())
+        out = verified(*args)
+        grown.append(len(set(folder.iterdir()) - tables))
+        return out
+
+    monkeypatch.setattr(similar, "_verified", spy)
+    tables, files, was = set(folder.iterdir()), shuffle_files(spark), spark.conf.get(setting)
+    got = similar.near_groups(df)
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - files) and time.time() < end:  # they go without waiting
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting) == was
+    assert len(set(folder.iterdir()) - tables) == 1 and len(grown) > 1 and set(grown) == {1}
+    assert got.count() == df.count() == len(got.collect())
+
+
+def test_few_and_many_rows_give_the_same(spark, monkeypatch):
+    df = stored(spark.createDataFrame([*enumerate(texts()), (0, None), (7, "one two")], "doc_id long, text string"))
+    found = lambda: (sorted(map(tuple, similar.near_groups(df).collect())), sorted(r.doc_id for r in similar.deduplicate(df).collect()))
+    broadcast = found()
+    monkeypatch.setattr(common, "FEW", 0)
+    assert found() == broadcast
+
+
+def test_sketches_rule_pairs_of_short_lists_out_before_sets_are_made(spark, monkeypatch):
+    """Texts that have half of their words in common meet in lists, but no sets are made of them."""
+    rng = random.Random(13)
+    draw = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 60, 3):
+        half, other = draw(100), draw(100)
+        rows += [(i, " ".join(half + other)), (i + 1, " ".join(half + draw(100))), (i + 2, " ".join(half + other + draw(3)))]
+    seen, verified = set(), similar._verified
+
+    def spy(pairs, nodes, docs):
+        seen.update(frozenset(r) for r in pairs.collect())
+        return verified(pairs, nodes, docs)
+
+    monkeypatch.setattr(similar, "_verified", spy)
+    got = {r.id: r for r in similar.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {i: i - 2 if i % 3 == 2 else i for i, _ in rows}
+    assert seen == {frozenset((got[i].fp, got[i + 2].fp)) for i in range(0, 60, 3)}
