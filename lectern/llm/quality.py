@@ -32,6 +32,8 @@ from lectern.llm.common import ROW_KEY, as_bytes, keyed, scanned, slices, stored
 from lectern.llm.tokens import hash_words
 
 SAMPLE = 16_384
+#: Bytes of texts whose features are made at a time, and features counted at a time: some arrays hold eight bytes for each.
+PIECE = 1 << 20
 PLACES = 1 << 20
 STEPS, RIDGE, Z = 300, 0.3, 5.0
 #: Bytes of a word that are features too: first ones, and last ones where negative.
@@ -92,7 +94,11 @@ def scores(weights: np.ndarray, feature: np.ndarray, first: np.ndarray) -> np.nd
 def screened(feature: np.ndarray, of: np.ndarray, grade: np.ndarray, grades: int) -> np.ndarray:
     """Features whose rates below and from some grade on differ by Z standard errors. of: the grade of each feature's document."""
     size, n = PLACES + _RATES * _BANDS, max(1, len(grade))
-    seen = np.stack([np.bincount(feature[of == j], minlength=size) for j in range(grades)])
+    seen = np.zeros((grades, size), dtype=np.int64)
+    for at in range(0, len(feature), PIECE):
+        here, its = feature[at : at + PIECE], of[at : at + PIECE]
+        for j in range(grades):
+            seen[j] += np.bincount(here[its == j], minlength=size)
     every = seen.sum(axis=0)
     out = np.zeros(size, dtype=bool)
     for j in range(1, grades):
@@ -142,9 +148,9 @@ def fit(feature: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int,
     logarithms of the gaps.
     """
     n = len(grade)
-    owner = np.repeat(np.arange(n), np.diff(first))
-    chosen = screened(feature, grade[owner], grade, grades)
-    owner, feature = owner[chosen[feature]], feature[chosen[feature]]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    chosen = screened(feature, np.repeat(grade.astype(np.int32), np.diff(first)), grade, grades)[feature]
+    owner, feature = owner[chosen], feature[chosen]
     used, at = np.unique(feature, return_inverse=True)
     p = len(used)
 
@@ -188,7 +194,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, PIECE):
                 feature, first = features(as_bytes(batch.column(1)))
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["grade", "feature"])
@@ -202,7 +208,9 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
             sizes.append(np.diff(lists.offsets.to_numpy()))
         if grade:
             first = np.cumsum(np.r_[0, np.concatenate(sizes)])
-            w, cut = fit(np.concatenate(parts).astype(np.int64), first, np.array(grade), grades)
+            feature = np.concatenate(parts)
+            parts.clear()
+            w, cut = fit(feature, first, np.array(grade), grades)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([cut.tobytes()], pa.binary())], names=["w", "cut"])
 
     rows = rated(docs, ratings, sample, doc_id, text).selectExpr("cast(grade as int) as grade", "text")
@@ -221,7 +229,7 @@ def score(docs: DataFrame, weights: np.ndarray, cut: np.ndarray, grade: int, doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c = shared.value
         for whole in batches:
-            for batch in slices(whole, 3, 4 << 20):
+            for batch in slices(whole, 3, PIECE):
                 s = scores(w, *features(as_bytes(batch.column(3))))
                 tail = _sigmoid(s[:, None] - c[None, :])
                 cols = [pa.array(tail.sum(axis=1)), pa.array(tail[:, grade - 1]), pa.array(tail[:, grade - 1] >= 0.5)]

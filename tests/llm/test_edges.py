@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -125,6 +126,22 @@ def test_one_row_for_each_rated_id(spark):
     assert sorted(tuple(r) for r in quality.rated(docs, ratings, 10, "doc_id", "text").collect()) == [(0, "c"), (2, "a")]
 
 
+def test_screening_holds_no_second_copy_of_the_features(monkeypatch):
+    def screened(n):
+        feature, of = np.arange(n, dtype=np.int32) % 1001, (np.arange(n, dtype=np.int32) // 1001 % 2 * (np.arange(n) % 1001 < 500)).astype(np.int32)
+        tracemalloc.start()
+        try:
+            out = quality.screened(feature, of, np.arange(n // 50) % 2, 2)
+            return out, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    (_, small), (many, large) = screened(2 << 20), screened(8 << 20)
+    assert large < small + 10
+    monkeypatch.setattr(quality, "PIECE", 1 << 30)
+    assert not many[:500].any() and many[500:1001].all() and not many[1001:].any() and (many == screened(8 << 20)[0]).all()
+
+
 def test_weights_are_those_of_a_dense_solver(monkeypatch):
     """Newton's method with numerical derivatives on the likelihood written out with a dense matrix."""
     size = quality.PLACES + quality._RATES * quality._BANDS
